@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from . import chat_format, fingerprint, mixing
+from .common import read, shared_dir
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import read_tokens, write_tokens
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, path, ids=False)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +33,29 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
 
-ORACLE_SQL: dict[str, str] = {}
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.conversation_digests(chat_format.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES = {
+    "op4_fingerprint": op4_fingerprint,
+    "op6_token_files": op6_token_files,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_mixing": op8_mixing,
+    "op9_chat_format": op9_chat_format,
+}
+
+ORACLE_SQL = {
+    "op4_fingerprint": fingerprint.SQL,
+    "op8_mixing": mixing.SQL,
+    "op9_chat_format": chat_format.SQL,
+}
