@@ -22,6 +22,7 @@ BLOCK_BYTES gets a block of its own.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,11 +46,19 @@ _BLOCKS = (
 )
 
 
+#: Words that the tokenizer leaves as they are and takes as one piece each: lower-case Latin-1 letters, composed.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: A comma or stop between an ASCII letter and white space is a piece of its own.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+
+
 class WordEncoder:
-    """Serialized ids of whole texts, from a tokenizer that treats words apart.
+    """Serialized ids of whole texts, from a tokenizer that lower-cases and treats words apart.
 
-    The tokenizer collapses white space and never merges across it, so a text's ids are the
-    ids of its space-separated words in order; words recur, so most come from memory."""
+    The tokenizer collapses white space, never merges across it and ends each piece with a token
+    that says so.  So a text's ids are the ids of its words in order; words recur, so most
+    come from memory, and new plain words are encoded in one string and cut at those tokens.
+    Texts that hold `<|` may spell special tokens, which depend on case; they are encoded whole."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -58,23 +67,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        top = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max(max(vocabulary.values()), end_id)
+        self.ends = np.zeros(top + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if _PLAIN(t)]
+        other = sorted({*range(len(words))} - {*plain})
+        found = dict(zip([words[i] for i in other], self._ids([texts[i] for i in other]), strict=True))
+        if plain:
+            raw = self._ids([" ".join([texts[i] for i in plain])])[0]
+            size = self.dtype.itemsize
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.dtype)]) + 1) * size).tolist()
+            found |= {words[i]: raw[a:b] for i, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
+            assert len(cuts) == len(plain), "each plain word ends once"
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for chunk in chunks(texts):
-            split = [t.split(" ") for t in chunk]
-            new = [w for w in {w for ws in split for w in ws} if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for ws in split for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            for ws in split:
-                yield b"".join([known[w] for w in ws]) + self.end
+            split = [None if "<|" in t else _STOP.sub(rb" \1", t.encode().lower()).split() for t in chunk]
+            found = [None if ws is None else [*map(known.get, ws)] for ws in split]
+            fresh = self._new(list({w for ws, f in zip(split, found, strict=True) if f and None in f for w, ids in zip(ws, f, strict=True) if ids is None}))
+            for text, ws, f in zip(chunk, split, found, strict=True):
+                if f is None:
+                    yield self._ids([text])[0] + self.end
+                else:
+                    yield b"".join([fresh[w] if ids is None else ids for w, ids in zip(ws, f, strict=True)] if None in f else f) + self.end
+            if len(known) < CACHE_WORDS:
+                known |= fresh
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> bytes:
