@@ -10,10 +10,22 @@ from . import chat_format, fingerprint, mixing
 from .common import read, shared_dir
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_spans
+
+    return find_spans(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,11 +59,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_fingerprint": op4_fingerprint,
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
