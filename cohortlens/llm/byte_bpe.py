@@ -18,6 +18,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-#: Code points of text that the library gets at once; bounds a worker's memory.
+#: Code points of text that are split at once; bounds a worker's memory.
 CHUNK = 2_000_000
+#: Pieces that a worker remembers the ids of.
+CACHE_PIECES = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -91,10 +94,13 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class ByteBpe:
     """Encoder and decoder over one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], definition: str):
+    def __init__(self, ranks: dict[bytes, int], definition: str, pattern: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.pieces = regex.compile(pattern).findall
+        self.known: dict[str, list[int]] = {}
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
@@ -102,13 +108,22 @@ class ByteBpe:
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
         ranks = read_ranks(path)
-        return cls(ranks, tokenizer_json(ranks, pattern))
+        return cls(ranks, tokenizer_json(ranks, pattern), pattern)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, a bounded number of characters at a time."""
+        """The ids of each text, a bounded number of characters at a time.
+
+        Pieces are encoded each by itself and recur, so most ids come from memory."""
+        known = self.known
         for chunk in chunks(texts):
-            for e in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False):
-                yield e.ids
+            split = [self.pieces(t) for t in chunk]
+            found = [[*map(known.get, ps)] for ps in split]
+            new = list({p for ps, f in zip(split, found, strict=True) if None in f for p, ids in zip(ps, f, strict=True) if ids is None})
+            fresh = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            for ps, f in zip(split, found, strict=True):
+                yield [*chain.from_iterable([fresh[p] if ids is None else ids for p, ids in zip(ps, f, strict=True)] if None in f else f)]
+            if len(known) < CACHE_PIECES:
+                known |= fresh
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes
@@ -149,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     spark = docs.sparkSession
     arrow_batches(spark)
     ranks = read_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast((ranks, tokenizer_json(ranks, pattern)))
+    shared = spark.sparkContext.broadcast((ranks, tokenizer_json(ranks, pattern), pattern))
     made = ["ids"] * ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c != text and c not in made]
     kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
