@@ -6,10 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, mixing
+from . import chat_format, fingerprint, mixing, quality
 from .common import read, shared_dir
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), quality.trusted_ids(read(spark, sf_dir, "labels")))
+    return judged.drop("text")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -59,6 +64,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op4_fingerprint": op4_fingerprint,
     "op6_token_files": op6_token_files,
