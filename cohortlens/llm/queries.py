@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, mixing, quality
+from . import chat_format, fingerprint, mixing, near_dedup, quality
 from .common import read, shared_dir
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
+    "op3_near_dedup": op3_near_dedup,
     "op4_fingerprint": op4_fingerprint,
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
@@ -75,6 +80,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_near_dedup": near_dedup.SQL,
     "op4_fingerprint": fingerprint.SQL,
     "op8_mixing": mixing.SQL,
     "op9_chat_format": chat_format.SQL,
