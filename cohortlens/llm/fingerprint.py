@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let
 
 DENSE, LANES = 8, 128
 _32, _16 = 1 << 32, 1 << 16
@@ -75,35 +75,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)), 6))
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id for each distinct doc_id: the greatest smaller one, and after the least
-    the greatest.  Ids are sorted by range; a partition's last id finds its successor among the partitions' first ids (one row a partition)."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    dealt = ids.repartitionByRange(F.col("doc_id").desc()).withColumn("part", F.spark_partition_id())
-    dealt = stored(dealt, "fingerprint-ids")  # which id is in which partition is settled from here on
-    order = Window.partitionBy("part").orderBy(F.desc("doc_id"))
-    within = dealt.withColumn("next_id", F.lead("doc_id").over(order))
-    first = dealt.groupBy("part").agg(F.max("doc_id").alias("head"))
-    heads = Window.orderBy("part")
-    first = first.select("part", F.coalesce(F.lead("head").over(heads), F.max("head").over(Window.partitionBy(F.lit(1)))).alias("then"))
-    return within.join(first, "part").select("doc_id", F.coalesce("next_id", "then").alias("next_id"))
+def splits(ids: DataFrame, n: int) -> list[int]:
+    """At most n - 1 doc_ids that cut the ids into ranges of about equal numbers of rows."""
+    found = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10 * n).alias("s")).first() if n > 1 else None
+    return sorted(set(found.s)) if found and found.s else []
+
+
+def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many cuts are at most doc_id: first among every so many cuts, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    every = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to one literal
+    step = max(1, round(len(cuts) ** 0.5))
+    coarse = F.split(F.lit(",".join(map(str, cuts[::step]))), ",").cast("array<bigint>")
+    below = lambda values: F.size(F.filter(values, lambda s: s <= doc_id))
+    return let(F.greatest(below(coarse) - 1, F.lit(0)) * step, lambda at: at + below(F.slice(every, at + 1, step)))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, next_text, edited: the last floor(n_chars / 2) code points
-    replaced by as many first ones of the next document, in descending doc_id.
+    """doc_id, text, n_chars, next_text, edited: the last floor(n_chars / 2) code points replaced by as
+    many first ones of the next document, in descending doc_id (null last; equal ids by text).
 
-    Of rows with one doc_id the least text stands as the next document; a null doc_id has the
-    empty text as next."""
+    Texts are shuffled once, to ranges of doc_id that an approximate percentile of the ids sets; the first
+    document of each range goes to the range above too (and the very first to the last range), so every next document
+    is in its predecessor's range."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = next_ids(texts)
-    own = texts.withColumn("n_chars", F.length("text").cast("long"))
-    follow = texts.join(order.select("doc_id", F.col("next_id")).withColumnsRenamed({"doc_id": "prev_id", "next_id": "doc_id"}), "doc_id")
-    follow = follow.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("text").alias("next_text"))
-    both = own.join(follow, "doc_id", "left").withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    cuts = splits(docs.select("doc_id"), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = bucket_of(F.col("doc_id"), cuts)
+    ranges = Window.orderBy("bucket")  # over one row a range
+    heads = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    heads = heads.select("head", F.coalesce(F.lead("bucket").over(ranges), F.min("bucket").over(Window.partitionBy(F.lit(1)))).alias("above"))
+    rows = texts.withColumn("bucket", bucket).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    place = lambda b, ghost: F.struct(b.alias("bucket"), F.lit(ghost).alias("ghost"))
+    places = F.when(F.col("above").isNull(), F.array(place(F.col("bucket"), False))).otherwise(F.array(place(F.col("bucket"), False), place(F.col("above"), True)))
+    rows = rows.select("doc_id", "text", F.inline(places))
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    both = rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost"))
+    both = both.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    return both.withColumn("edited", edited)
+    return both.select("doc_id", "text", "n_chars", "next_text", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
