@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,9 @@ def masked_texts(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in cuts)
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str):
-    """A byte-level tokenizer with the control strings as special tokens."""
+    """A byte-level tokenizer with the control strings as special tokens, one for each worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
