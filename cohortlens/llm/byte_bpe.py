@@ -142,6 +142,18 @@ class ByteBpe:
         return spans
 
 
+_CODECS: dict[str, ByteBpe] = {}
+
+
+def codec(ranks: dict[bytes, int], definition: str, pattern: str) -> ByteBpe:
+    """This worker's codec of a definition: what it remembers outlives a task."""
+    key = hashlib.sha256(f"{pattern}\n{definition}".encode()).hexdigest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = ByteBpe(ranks, definition, pattern)
+    return _CODECS[key]
+
+
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
     """The texts in order, in runs of about size characters."""
     run, n = [], 0
@@ -174,16 +186,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        codec = ByteBpe(*shared.value)
-        decimal = [str(i) for i in range(len(codec.bytes))]
+        bpe = codec(*shared.value)
+        decimal = [str(i) for i in range(len(bpe.bytes))]
         for batch in batches:
             out = {c: [] for c in made}
-            for found in codec.encode([t or "" for t in batch.column(text).to_pylist()]):
+            for found in bpe.encode([t or "" for t in batch.column(text).to_pylist()]):
                 if ids:
                     out["ids"].append(found)
                 out["n_tokens"].append(len(found))
                 out["ids_sha256"].append(hashlib.sha256(" ".join([decimal[i] for i in found]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(found)).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(found)).hexdigest())
             arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(out[c], arrow.get(c, pa.string())) for c in made], kept + made
