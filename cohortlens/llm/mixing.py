@@ -57,12 +57,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, split_last: bool = True) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words of each document that the mix takes.
+def mix(docs: DataFrame, split_last: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: words of each document that the mix takes; and, if
+    asked for, `row`: a struct of the columns to carry along (they are shuffled with the rest).
 
     split_last: a source's budget is met to the word, by a part of the last document; else that document
     is taken whole if at least half of it fits (budget met to half a document)."""
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    rest = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *rest)
     digits = max(1, math.ceil(math.log(max(docs.select("doc_id").count(), 1) / BUCKET_ROWS + 1, 16)))
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, digits))
     # a null source can't be joined on with ==, so it gets a name that no source has
@@ -78,11 +80,11 @@ def mix(docs: DataFrame, split_last: bool = True) -> DataFrame:
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, place)
     start, size = F.col("start") + F.col("bucket_start"), F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
-    part = F.least(size, F.greatest(F.lit(0).cast("long"), rest - start))
+    budget = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
+    part = F.least(size, F.greatest(F.lit(0).cast("long"), budget - start))
     if not split_last:
         part = F.when((2 * part >= size) & (part > 0), size).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * size + part).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * size + part).alias("taken"), *(["row"] if carry else []))
 
 
 SQL = r"""

@@ -45,10 +45,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them; a source's last one is taken whole or not at all."""
-    taken = mixing.mix(docs, split_last=False)
-    # ids are unique after near-dedup but for null ones, which have no key to be joined by
-    times = taken.where("size > 0 AND doc_id IS NOT NULL").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    mixed = mixing.mix(docs, split_last=False, carry=COLUMNS)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
