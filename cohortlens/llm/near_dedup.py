@@ -15,9 +15,10 @@ Leaves are compared exhaustively by sketches (4 bits of every minwise token).  C
 not all pairs may come out, so links are found in two steps that lose no component:
 
 1. each leaf gives a maximum spanning forest of its likely pairs (estimate at least the limit minus 3.5 standard deviations); pairs
-   are confirmed on full sets, and confirmed ones give components;
-2. each leaf gives every likely pair whose ends are still in different components, and these are confirmed.  In a node cut
-   into blocks, sets outside the node's main component meet all blocks, others are in the same component already.
+   are confirmed on full sets.  Confirmed pairs give groups, all likely ones give families, and every link is within a
+   family;
+2. in a family of several groups, sets outside its largest group meet all others, in blocks of BLOCK by BLOCK; likely pairs of
+   different groups are confirmed on full sets there and then, and only links come out.
 
 Every level is written to the shared folder, nothing of the size of the corpus reaches the driver, and a hot node
 is one count and many rows, never one task's group.
@@ -33,6 +34,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ from .common import arrow_batches, stored
 from .components import components
 
 SIZE, TREES, DEPTH, SMALL = 128, 8, 5, 128
+#: Sets on each side of a block of comparisons.
+BLOCK = 256
 #: Characters that are shingled at once.
 CHUNK = 1_000_000
 _U = np.uint64
@@ -114,6 +118,16 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return low[..., ::2] << 4 | low[..., 1::2]
 
 
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    """Sketches as one number of 4 bits to a byte."""
+    return np.concatenate([packed >> 4, packed & 15], axis=1)
+
+
+def similarity(equal: np.ndarray) -> np.ndarray:
+    """Estimated similarity from how many numbers of two sketches are equal."""
+    return (equal / SIZE - 1 / 16) * (16 / 15)
+
+
 def children(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(parent, child, owner) of sets (rows of tokens) one level below nodes."""
     parts = []
@@ -185,10 +199,10 @@ def leaves(sets: DataFrame) -> DataFrame:
     return out
 
 
-def likely_pairs(node: np.ndarray, ids: np.ndarray, packed: np.ndarray, group: np.ndarray | None, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run of equal nodes: (a, b, estimate) of its pairs that reach the limit, a < b, of different groups if given."""
+def likely_pairs(node: np.ndarray, ids: np.ndarray, packed: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of equal nodes: (a, b, estimate) of its pairs that reach the limit, a < b."""
     cuts = np.flatnonzero(np.diff(node)) + 1
-    low = np.concatenate([packed >> 4, packed & 15], axis=1)
+    low = unpacked(packed)
     starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(node)]]))
     for size in np.unique(sizes[sizes > 1]):
         at = starts[sizes == size]
@@ -197,13 +211,10 @@ def likely_pairs(node: np.ndarray, ids: np.ndarray, packed: np.ndarray, group: n
         for k in range(0, len(at), per):
             base = at[k : k + per, None]
             left, right = (base + i).ravel(), (base + j).ravel()
-            if group is not None:
-                other = group[left] != group[right]
-                left, right = left[other], right[other]
             share = np.empty(len(left), np.float32)
             for c in range(0, len(left), 50_000):
                 share[c : c + 50_000] = (low[left[c : c + 50_000]] == low[right[c : c + 50_000]]).sum(axis=1, dtype=np.int16)
-            estimate = (share / SIZE - 1 / 16) * (16 / 15)
+            estimate = similarity(share)
             ok = estimate >= limit
             left, right, estimate = left[ok], right[ok], estimate[ok]
             yield from _by_node(node, ids, left, right, estimate)
@@ -241,8 +252,8 @@ def forest(a: np.ndarray, b: np.ndarray, estimate: np.ndarray) -> list[int]:
     return kept
 
 
-def _candidates(rows: DataFrame, limit: float, across: bool) -> DataFrame:
-    """Distinct likely pairs a, b of rows (node, block, id, sketch; grp if across): spanning forests, or all across groups."""
+def _candidates(rows: DataFrame, limit: float) -> DataFrame:
+    """Distinct likely pairs a, b of rows (node, block, id, sketch): a spanning forest of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -251,10 +262,9 @@ def _candidates(rows: DataFrame, limit: float, across: bool) -> DataFrame:
             node = mix(table.column("node").to_numpy().view(_U)) + table.column("block").to_numpy().astype(_U)
             ids = table.column("id").to_numpy()
             packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE // 2)
-            group = table.column("grp").to_numpy() if across else None
             out: tuple[list, list] = ([], [])
-            for a, b, e in likely_pairs(node, ids, packed, group, limit):
-                keep = slice(None) if across else forest(a, b, e)
+            for a, b, e in likely_pairs(node, ids, packed, limit):
+                keep = forest(a, b, e)
                 out[0].append(a[keep])
                 out[1].append(b[keep])
             pairs = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in out], axis=1), axis=0)
@@ -290,13 +300,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                small, big = min(len(p), len(q)), max(len(p), len(q))
-                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * small >= percent * big else 0
-                alike.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            sure = [alike(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -337,21 +342,64 @@ def _links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFr
     sketches = _sketches(sets)
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)).cast("int")
     rows = nodes.withColumn("block", F.when(F.col("n") > SMALL, block).otherwise(F.lit(0)))
-    first = stored(_candidates(rows.join(sketches, "id").select("node", "block", "id", "sketch"), limit, False), "forests")
-    involved = stored(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "involved")
-    full = stored(_full_sets(docs, involved, width), "full")
+    first = stored(_candidates(rows.join(sketches, "id").select("node", "block", "id", "sketch"), limit), "forests")
+    families = components(first).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
+    full = stored(_full_sets(docs, families, width), "full")
     sure = stored(_confirm(first, full, percent), "links1")
-    groups = stored(involved.join(components(sure).withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp")), "groups")
-    # nodes that still hold several groups; of large ones the main group stays in its blocks, others meet every block
-    rows = stored(rows.join(groups, "id"), "open")
-    share = rows.groupBy("node", "grp").agg(F.count("*").alias("m"))
-    main = share.groupBy("node").agg(F.max(F.struct("m", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("node", F.col("top.grp").alias("main"))
-    rows = rows.join(main, "node")
-    every = F.sequence(F.lit(0), F.ceil(F.col("n") / SMALL).cast("int") - 1)
-    rows = rows.withColumn("block", F.explode(F.when((F.col("n") > SMALL) & (F.col("grp") != F.col("main")), every).otherwise(F.array("block"))))
-    second = _candidates(rows.join(sketches, "id").select("node", "block", "id", "sketch", "grp"), limit, True)
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "across")
-    return sure.union(_confirm(second, full, percent))
+    groups = components(sure).select(F.col("vertex").alias("id"), F.col("component").alias("grp"))
+    members = stored(families.join(groups, "id", "left").select("id", "family", F.coalesce("grp", "id").alias("grp")), "members")
+    # of each family the largest group is told from the rest, whose sets look for links
+    counts = members.groupBy("family", "grp").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("family").agg(F.max(F.struct("m", "grp")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
+    rows = members.join(largest.select("family", F.col("top.grp").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("rest")), "family")
+    asks, asked = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    place = lambda ask, at, asking: F.struct(ask.alias("ask"), at.alias("at"), F.lit(asking).alias("asking"))
+    stays = F.transform(F.sequence(F.lit(0), asks - 1), lambda k: place(k, mine(asked), False))
+    goes = F.transform(F.sequence(F.lit(0), asked - 1), lambda k: place(mine(asks), k, True))
+    rows = rows.select("id", "family", "grp", F.inline(F.when(F.col("grp") == F.col("main"), stays).otherwise(F.concat(stays, goes))))
+    return sure.union(_across(rows.join(sketches, "id").join(full, "id"), limit, percent))
+
+
+def _across(rows: DataFrame, limit: float, percent: int) -> DataFrame:
+    """a, b: confirmed links between asking and other sets of different groups, block by block.
+
+    rows: id, family, grp, ask, at, asking, sketch, shingles."""
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        q, t = block[block.asking], block[~block.asking]
+        if len(q) and len(t):
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.setdefault(x, x)) != x:
+                    root[x] = root[up]
+                    x = root[x]
+                return x
+
+            low = [unpacked(np.frombuffer(b"".join(x.sketch), np.uint8).reshape(-1, SIZE // 2)) for x in (q, t)]
+            sets = [[np.frombuffer(s, _U) for s in x.shingles] for x in (q, t)]
+            ids, groups = (q.id.to_numpy(), t.id.to_numpy()), (q.grp.to_numpy(), t.grp.to_numpy())
+            for i in range(len(q)):
+                near = similarity((low[1] == low[0][i]).sum(axis=1)) >= limit
+                for j in np.flatnonzero(near & (groups[1] != groups[0][i])).tolist():
+                    g, h = find(int(groups[0][i])), find(int(groups[1][j]))
+                    if g != h and alike(sets[0][i], sets[1][j], percent):
+                        root[g] = h
+                        found.append((int(ids[0][i]), int(ids[1][j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    wanted = rows.select("id", "family", "grp", "ask", "at", "asking", "sketch", "shingles")
+    return wanted.groupBy("family", "ask", "at").applyInPandas(links, "a bigint, b bigint")
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted) reach the similarity."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
