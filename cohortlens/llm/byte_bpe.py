@@ -18,8 +18,8 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 #: Code points of text that are split at once; bounds a worker's memory.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Pieces that a worker remembers the ids of.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -100,7 +100,7 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
@@ -110,24 +110,27 @@ class ByteBpe:
         ranks = read_ranks(path)
         return cls(ranks, tokenizer_json(ranks, pattern), pattern)
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, a bounded number of characters at a time.
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids (int32) of each text, a bounded number of characters at a time.
 
         Pieces are encoded each by itself and recur, so most ids come from memory."""
         known = self.known
         for chunk in chunks(texts):
             split = [self.pieces(t) for t in chunk]
             found = [[*map(known.get, ps)] for ps in split]
-            new = list({p for ps, f in zip(split, found, strict=True) if None in f for p, ids in zip(ps, f, strict=True) if ids is None})
-            fresh = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            for ps, f in zip(split, found, strict=True):
-                yield [*chain.from_iterable([fresh[p] if ids is None else ids for p, ids in zip(ps, f, strict=True)] if None in f else f)]
+            holes = [(f, ps, [i for i, ids in enumerate(f) if ids is None]) for f, ps in zip(found, split, strict=True) if None in f]
+            new = [*{ps[i] for _, ps, at in holes for i in at}]
+            fresh = {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            for f, ps, at in holes:
+                for i in at:
+                    f[i] = fresh[ps[i]]
+            for f in found:
+                yield np.frombuffer(b"".join(f), np.int32)
             if len(known) < CACHE_PIECES:
                 known |= fresh
 
     def decode(self, ids: list[int]) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in ids])
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def char_spans(self, ids: list[int]) -> list[tuple[int, int]]:
         """Code points [start, end) that each id takes part in.  Ids that share a split
@@ -189,16 +192,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         bpe = codec(*shared.value)
         decimal = [str(i) for i in range(len(bpe.bytes))]
         for batch in batches:
-            out = {c: [] for c in made}
+            arrays, digests, back = [], [], []
             for found in bpe.encode([t or "" for t in batch.column(text).to_pylist()]):
-                if ids:
-                    out["ids"].append(found)
-                out["n_tokens"].append(len(found))
-                out["ids_sha256"].append(hashlib.sha256(" ".join([decimal[i] for i in found]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(found)).hexdigest())
-            arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(out[c], arrow.get(c, pa.string())) for c in made], kept + made
-            )
+                one = found.tolist()
+                arrays.append(found)
+                digests.append(hashlib.sha256(" ".join(map(decimal.__getitem__, one)).encode()).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(one)).hexdigest())
+            sizes = np.array([len(x) for x in arrays], np.int64)
+            columns = [pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            if ids:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns.insert(0, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]))))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, kept + made)
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(run, schema)
