@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, fingerprint, mixing, near_dedup, quality
 from .common import read, shared_dir
@@ -35,6 +36,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(spans, ",").alias("spans"), F.array_max(F.transform("licenses", lambda m: m["coverage"])).alias("best_coverage"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +81,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_fingerprint": op4_fingerprint,
+    "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
