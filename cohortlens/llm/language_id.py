@@ -53,7 +53,8 @@ def letters() -> np.ndarray:
 def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed 1-, 2- and 3-grams of the texts, (3, total), and where each text begins in them.
 
-    A text is followed by a gap of spaces, so no n-gram holds letters of two texts."""
+    A text is followed by a gap of spaces, so no n-gram that begins in it holds letters of the next; what begins in a
+    gap is bucket 0, the same for every text."""
     joined = GAP.join(texts) + GAP
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(code < 1 << 16, table[np.minimum(code, 0xFFFF)], code)
@@ -66,6 +67,8 @@ def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h[:-n] += (code * np.uint32(0x9E3779B1))[n:]
         mixed = h ^ (h >> np.uint32(15))
         out[n] = (mixed * np.uint32(0xC2B2AE35) + np.uint32(n)) >> np.uint32(32 - BITS)
+    gaps = starts + [len(t) for t in texts]
+    out[:, np.concatenate([gaps + k for k in range(len(GAP))])] = 0
     return out, starts
 
 
@@ -81,6 +84,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text") -> tupl
     if len(counted) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(r["lang"] for r in counted)
+    if not langs:
+        return [], np.zeros((BUCKETS, 0), np.float32)
     # a threshold on the id's hash keeps about per_lang documents of each language, without a sort
     share = F.lit(1.0)
     for r in counted:

@@ -6,9 +6,10 @@ words are in repeated windows.
 
 The ratio: texts become tokens (runs of letters and digits, runs of other visible characters), and tokens and
 pairs of neighbouring tokens are hashed to BUCKETS buckets (a token twice in a row is one pair, whatever the
-token).  Two multinomials over buckets are counted
-with add-one smoothing, one over the trusted target (documents labelled as good), one over the
-whole raw corpus.  A document's score is the sum over its n-grams of log(target / raw), divided by their
+token).  Two multinomials over buckets are counted, one over the
+whole raw corpus, one over the trusted target (documents labelled as good).  Of each bucket, the target's count and the count that the
+raw multinomial lets expect in a target of that size get PRIOR added, so rare n-grams have ratios near 1 and a document isn't
+rejected for words of its own.  A document's score is the sum over its n-grams of log(target / raw), divided by their
 number; it is kept if the score is at least THRESHOLD, the same for every document.
 
 The trusted target is a bounded sample of labelled rows, the TARGET_DOCS whose ids hash lowest, so that its ids can be
@@ -23,6 +24,8 @@ table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ from .common import SPACE, let, words
 MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 BITS = 14
 BUCKETS = 1 << BITS
+#: Added to a bucket's count, found and expected.
+PRIOR = 10.0
 TARGET_DOCS = 100_000
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 
 
@@ -91,16 +96,12 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     flagged = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("hit", F.lit(1))), "doc_id", "left")
     grams = flagged.select(F.coalesce("hit", F.lit(0)).alias("hit"), F.explode(buckets(F.col("text"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target")).collect()  # BUCKETS rows at most
-    raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
-    for r in counts:
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    if sum(target) == BUCKETS:
-        return [0.0] * BUCKETS
-    import math
-
-    gap = math.log(sum(raw)) - math.log(sum(target))
-    return [round(math.log(t) - math.log(r) + gap, 6) for t, r in zip(target, raw, strict=True)]
+    all_raw, all_target = sum(r.raw for r in counts), sum(r.target for r in counts)
+    table = [0.0] * BUCKETS
+    for r in counts if all_target else []:
+        expected = r.raw * all_target / all_raw
+        table[r.bucket] = round(math.log((r.target + PRIOR) / (expected + PRIOR)), 6)
+    return table
 
 
 def score(text: Column, table: list[float]) -> Column:
