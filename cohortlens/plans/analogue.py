@@ -8,12 +8,14 @@ same in DuckDB's SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.roles import assign_roles
 
-ASSET = F.concat(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit("x"), (F.col("p_size") % 4).cast("string"))
+
+def asset() -> Column:
+    return F.concat(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit("x"), (F.col("p_size") % 4).cast("string"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -36,11 +38,11 @@ def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("quantity"))
     lines = lines.join(part, lines.l_partkey == part.p_partkey).withColumn("nct_id", F.concat(F.lit("T"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")))
-    lines = lines.withColumns({"intervention_no": F.col("l_linenumber"), "asset_id": ASSET, "arm_no": F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)})
+    lines = lines.withColumns({"intervention_no": F.col("l_linenumber"), "asset_id": asset(), "arm_no": F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)})
     interventions = lines.select("nct_id", "intervention_no", F.when(F.col("p_size") % 7 == 0, "DEVICE").otherwise("DRUG").alias("type"), F.col("p_name").alias("name_raw"), none.alias("description"))
     arms = lines.select("nct_id", "arm_no", F.col("flag").alias("label"), F.when(F.col("flag") == "A", "EXPERIMENTAL").when(F.col("flag") == "R", "ACTIVE_COMPARATOR").otherwise("OTHER").alias("type"), none.alias("description")).distinct()
     arm_interventions = lines.select("nct_id", "arm_no", "intervention_no", F.lit("label").alias("via"))
-    assets = part.select(ASSET.alias("asset_id")).distinct().select(
+    assets = part.select(asset().alias("asset_id")).distinct().select(
         "asset_id", F.upper("asset_id").alias("canonical_name"), F.col("asset_id").alias("dedup_key"), F.col("asset_id").endswith("x0").alias("is_combo"))
     stem = F.regexp_replace("asset_id", "x0$", "")
     components = assets.where("is_combo").select(F.col("asset_id").alias("combo_asset_id"), F.explode(F.array(F.concat(stem, F.lit("x1")), F.concat(stem, F.lit("x2")))).alias("component_asset_id"))
