@@ -73,6 +73,11 @@ def trial_conditions_primary(t: Tables) -> DataFrame:
     return c.withColumn("_mesh", has_mesh).where(F.col("source") == wanted).drop("_mesh").distinct()
 
 
+def surface(t: Tables) -> DataFrame:
+    """nct_id, condition_key of the surfaces that count, once each."""
+    return trial_conditions_primary(t).select("nct_id", "condition_key").distinct()
+
+
 def conditions(t: Tables) -> DataFrame:
     areas = t["condition_areas"].groupBy("condition_key").agg(F.array_sort(F.collect_list(F.struct((~F.col("is_primary")).alias("late"), "area"))).alias("_areas"))
     drug = (F.col("study_type") == "INTERVENTIONAL") & F.col("is_drug_trial")
@@ -84,10 +89,12 @@ def conditions(t: Tables) -> DataFrame:
 
 
 def _developed(t: Tables) -> DataFrame:
-    """Assets in development, with their trials and conditions: comparators out, unknown roles in."""
+    """Assets in development, with their trials and conditions: comparators out, unknown roles in.
+
+    One row an (asset, trial, condition), as a role is an asset's in a trial; so trials are counted by plain sums."""
     return (
-        t["trial_assets"].where(F.col("role").isin(DEVELOPING)).select("nct_id", "asset_id", "role")
-        .join(trials(t).where("study_type = 'INTERVENTIONAL'"), "nct_id").join(trial_conditions_primary(t), "nct_id")
+        t["trial_assets"].where(F.col("role").isin(DEVELOPING)).select("nct_id", "asset_id", "role").distinct()
+        .join(trials(t).where("study_type = 'INTERVENTIONAL'"), "nct_id").join(surface(t), "nct_id")
     )
 
 
@@ -104,11 +111,11 @@ def programs(t: Tables) -> DataFrame:
     return _developed(t).groupBy("asset_id", "condition_key").agg(
         F.max("phase_rank").alias("max_phase_ever"),
         F.max(F.when(F.col("program_exists"), F.col("phase_rank"))).alias("max_phase_active"),
-        n_distinct("nct_id").alias("n_trials"),
-        n_distinct("nct_id", F.col("program_exists")).alias("n_active_trials"),
-        n_distinct("nct_id", F.col("is_active_readout")).alias("n_active_readout_trials"),
-        n_distinct("nct_id", F.col("role") == "unknown").alias("n_unknown_role_trials"),
-        n_distinct("nct_id", F.col("is_industry")).alias("n_industry_trials"),
+        F.count("nct_id").alias("n_trials"),
+        F.count_if("program_exists").alias("n_active_trials"),
+        F.count_if("is_active_readout").alias("n_active_readout_trials"),
+        F.count_if(F.col("role") == "unknown").alias("n_unknown_role_trials"),
+        F.count_if("is_industry").alias("n_industry_trials"),
         F.max("last_update_date_parsed").alias("latest_activity"),
         F.max(first)["company"].alias("lead_company_of_most_advanced"),
         sorted_set("nct_id").alias("nct_ids"),
@@ -124,12 +131,12 @@ def asset_max_phase(t: Tables) -> DataFrame:
 
 def assets(t: Tables) -> DataFrame:
     """The asset catalog; assets without a trial stay with counts of 0."""
-    seen = t["trial_assets"].select("nct_id", "asset_id", "role").join(trials(t).select("nct_id", "is_industry", "study_type", "phase_rank"), "nct_id", "left")
+    seen = t["trial_assets"].select("nct_id", "asset_id", "role").distinct().join(trials(t).select("nct_id", "is_industry", "study_type", "phase_rank"), "nct_id", "left")
     return t["assets"].join(seen, "asset_id", "left").groupBy("asset_id", "canonical_name", "dedup_key", "is_combo").agg(
-        n_distinct("nct_id").alias("n_trials"),
-        n_distinct("nct_id", F.col("role") == "subject").alias("n_subject_trials"),
-        n_distinct("nct_id", F.col("role") == "comparator").alias("n_comparator_trials"),
-        n_distinct("nct_id", F.col("is_industry") & (F.col("study_type") == "INTERVENTIONAL")).alias("n_industry_interventional_trials"),
+        F.count("nct_id").alias("n_trials"),
+        F.count_if(F.col("role") == "subject").alias("n_subject_trials"),
+        F.count_if(F.col("role") == "comparator").alias("n_comparator_trials"),
+        F.count_if(F.col("is_industry") & (F.col("study_type") == "INTERVENTIONAL")).alias("n_industry_interventional_trials"),
         F.max("phase_rank").alias("max_phase_any_role"),
     )
 
@@ -158,7 +165,7 @@ def sponsor_activity(t: Tables) -> DataFrame:
 
 
 def sponsor_condition(t: Tables) -> DataFrame:
-    return _sponsored(t, trial_conditions_primary(t).select("nct_id", "condition_key"), ["condition_key"], {
+    return _sponsored(t, surface(t), ["condition_key"], {
         "n_active_trials": F.col("program_exists"), "n_active_readout_trials": F.col("is_active_readout"), "n_phase3_plus": F.col("phase_rank") >= 3})
 
 
@@ -202,7 +209,7 @@ def moa_trials(t: Tables) -> DataFrame:
     spine = trials(t).where("study_type = 'INTERVENTIONAL'").select("nct_id", "phase_norm", "phase_rank", "overall_status", "program_exists", "is_industry", "lead_company_id")
     return (
         moa(t).where("moa_key <> ''").select("moa_key", "provenance", "moa_label", "asset_id").join(t["trial_assets"].select("asset_id", "nct_id", "role"), "asset_id")
-        .join(spine, "nct_id").join(trial_conditions_primary(t).select("nct_id", "condition_key"), "nct_id")
+        .join(spine, "nct_id").join(surface(t), "nct_id")
     )
 
 
@@ -220,7 +227,7 @@ def _named_combos(t: Tables) -> DataFrame:
 
 def _in_trials(t: Tables, rows: DataFrame) -> DataFrame:
     spine = trials(t).where("study_type = 'INTERVENTIONAL'").select("nct_id", "phase_norm", "phase_rank", "overall_status", "program_exists", "is_industry")
-    return rows.join(spine, "nct_id").join(trial_conditions_primary(t).select("nct_id", "condition_key"), "nct_id").distinct()
+    return rows.join(spine, "nct_id").join(surface(t), "nct_id").distinct()
 
 
 def combos(t: Tables) -> DataFrame:
@@ -249,9 +256,9 @@ def combo_partners(t: Tables) -> DataFrame:
 
 def population_landscape(t: Tables) -> DataFrame:
     spine = trials(t).where("study_type = 'INTERVENTIONAL' AND is_drug_trial").select("nct_id", "program_exists")
-    rows = t["population_mentions"].select("nct_id", "kind", "term_id").distinct().join(spine, "nct_id").join(trial_conditions_primary(t).select("nct_id", "condition_key"), "nct_id")
+    rows = t["population_mentions"].select("nct_id", "kind", "term_id").distinct().join(spine, "nct_id").join(surface(t), "nct_id")
     return rows.groupBy("kind", "term_id", "condition_key").agg(
-        n_distinct("nct_id").alias("n_trials"), n_distinct("nct_id", F.col("program_exists")).alias("n_active_trials"), sorted_set("nct_id").alias("nct_ids"),
+        F.count("*").alias("n_trials"), F.count_if("program_exists").alias("n_active_trials"), sorted_set("nct_id").alias("nct_ids"),
     ).withColumn("example_ncts", F.slice("nct_ids", 1, 10))
 
 
