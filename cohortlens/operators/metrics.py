@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,13 @@ def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
 def set_scores(returned: DataFrame, gold: DataFrame, case: str, item: str) -> DataFrame:
     """Per case: n_returned, n_gold, n_hit, precision, recall, f1.
 
-    Two empty sets agree (all 1); nothing returned has precision 0 against a gold set, and no gold has recall
-    0 against something returned."""
+    Nothing returned has precision 1 (nothing wrong was said), and nothing expected has recall 1; so two empty sets agree."""
     r = returned.select(case, item).distinct().withColumn("_r", F.lit(1))
     g = gold.select(case, item).distinct().withColumn("_g", F.lit(1))
     n = r.join(g, [case, item], "full").groupBy(case).agg(
         F.coalesce(F.sum(F.when(F.col(item).isNotNull(), F.col("_r"))), F.lit(0)).alias("n_returned"), F.coalesce(F.sum(F.when(F.col(item).isNotNull(), F.col("_g"))), F.lit(0)).alias("n_gold"),
         F.coalesce(F.sum(F.when(F.col(item).isNotNull(), F.col("_r") * F.col("_g"))), F.lit(0)).alias("n_hit"))
-    both_empty = (F.col("n_returned") == 0) & (F.col("n_gold") == 0)
-    p = F.when(both_empty, 1.0).otherwise(ratio(F.col("n_hit"), F.col("n_returned"), 0.0))
-    q = F.when(both_empty, 1.0).otherwise(ratio(F.col("n_hit"), F.col("n_gold"), 0.0))
+    p, q = ratio(F.col("n_hit"), F.col("n_returned"), 1.0), ratio(F.col("n_hit"), F.col("n_gold"), 1.0)
     n = n.withColumns({"precision": p, "recall": q})
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
 
@@ -34,10 +33,13 @@ def pooled(scores: DataFrame, gate_from: int = 30) -> DataFrame:
     return s.withColumns({"f1": ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0), "gating": F.col("n_gold") >= gate_from})
 
 
-def roll_up(checks: DataFrame, group: str | None = None) -> DataFrame:
-    """checks: metric, role (OBJ, FLOOR, DIAG), value.  Breached floors (value < 1), mean objective, pass."""
+def roll_up(checks: DataFrame, group: str | None = None, limits: Mapping[str, float] | None = None) -> DataFrame:
+    """checks: metric, role (OBJ, FLOOR, DIAG), value.  Breached floors (value over its limit, 0 if not given), mean objective (0 without any), passed."""
     keys = [group] if group else []
-    floor, objective = F.col("role") == "FLOOR", F.col("role") == "OBJ"
+    limit = F.lit(0.0)
+    for metric, most in (limits or {}).items():
+        limit = F.when(F.col("metric") == metric, F.lit(most)).otherwise(limit)
+    breach = (F.col("role") == "FLOOR") & (F.col("value") > limit)
     rolled = checks.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(floor & (F.col("value") < 1), F.col("metric")))).alias("breaches"), F.avg(F.when(objective, F.col("value"))).alias("objective"), F.count("*").alias("n_checks"))
+        F.array_sort(F.collect_set(F.when(breach, F.col("metric")))).alias("breaches"), F.coalesce(F.avg(F.when(F.col("role") == "OBJ", F.col("value"))), F.lit(0.0)).alias("objective"), F.count("*").alias("n_checks"))
     return rolled.withColumn("passed", F.size("breaches") == 0)

@@ -290,7 +290,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.set_scores(o.where("o_orderstatus = 'O' AND item % 7 < 3"), o.where("item % 7 < 2 AND case_id <> 4"), "case_id", "item")
 
 
-@query("prf_by_case", CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 0.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 0.0 END AS recall FROM n)
+@query("prf_by_case", CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 1.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 1.0 END AS recall FROM n)
 SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s""", registry_sql=False)
 def prf_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)
@@ -303,11 +303,11 @@ def prf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("floor_rollup", """SELECT n_nationkey AS grp, coalesce(string_agg(DISTINCT 'm' || (s_suppkey % 4), ',' ORDER BY 'm' || (s_suppkey % 4)) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0), '') AS breaches,
-avg(s_suppkey % 5) FILTER (s_suppkey % 3 = 1) AS objective, count(*) AS n_checks, count(*) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0) = 0 AS passed FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""", registry_sql=False)
+coalesce(avg(s_suppkey % 5) FILTER (s_suppkey % 3 = 1), 0) AS objective, count(*) AS n_checks, count(*) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0) = 0 AS passed FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""", registry_sql=False)
 def floor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     role = F.when(k % 3 == 0, "FLOOR").when(k % 3 == 1, "OBJ").otherwise("DIAG")
-    value = F.when(k % 3 == 0, F.when(F.col("s_acctbal") < 0, 0).otherwise(1)).otherwise(k % 5)
+    value = F.when(k % 3 == 0, F.when(F.col("s_acctbal") < 0, 1).otherwise(0)).otherwise(k % 5)
     checks = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.concat(F.lit("m"), (k % 4).cast("string")).alias("metric"), role.alias("role"), value.alias("value"))
     return metrics.roll_up(checks, "grp").withColumn("breaches", joined("breaches"))
 

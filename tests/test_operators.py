@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import facets, metrics, ranking, resolution
-from cohortlens.plans import enrich, resolve, serving
+from cohortlens.plans import enrich, evaluation, resolve, serving
 from cohortlens.sources import records
 
 
@@ -63,14 +63,14 @@ def test_scores_of_empty_sets(spark):
     returned = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (4, None)], "c int, i string")
     gold = spark.createDataFrame([(1, "x"), (3, "w"), (4, None)], "c int, i string")
     got = {r.c: (r.precision, r.recall) for r in metrics.set_scores(returned, gold, "c", "i").collect()}
-    assert got == {1: (0.5, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
+    assert got == {1: (0.5, 1.0), 2: (0.0, 1.0), 3: (1.0, 0.0), 4: (1.0, 1.0)}
     p = metrics.pooled(metrics.set_scores(returned, gold, "c", "i")).first()
     assert (p.precision, p.recall, p.gating) == (1 / 3, 1 / 2, False)
 
 
 def test_roll_up(spark):
-    df = spark.createDataFrame([("a", "FLOOR", 1.0), ("b", "FLOOR", 0.0), ("c", "OBJ", 0.5), ("d", "DIAG", 0.0)], "metric string, role string, value double")
-    r = metrics.roll_up(df).first()
+    df = spark.createDataFrame([("a", "FLOOR", 0.0), ("b", "FLOOR", 1.0), ("e", "FLOOR", 2.0), ("c", "OBJ", 0.5), ("d", "DIAG", 9.0)], "metric string, role string, value double")
+    r = metrics.roll_up(df, limits={"e": 2.0}).first()
     assert (r.breaches, r.objective, r.passed) == (["b"], 0.5, False)
 
 
@@ -134,3 +134,36 @@ def test_enrichment_tiers(spark):
     targets = enrich.target_vocabulary(spark.createDataFrame([("p53", "TP53")], "alias string, symbol string"), spark.createDataFrame([("P53", "OTHER"), ("jak1", "JAK1")], "alias string, symbol string"))
     answers = spark.createDataFrame([("p", 1, True, "old", "A", ["nope"], "m", False), ("p", 2, True, "new", "A", ["P53", "nope"], "m", False), ("x", 1, True, "n", "A", [], "m", False)], "asset_id string, settled_at long, settled boolean, moa_class string, action string, targets_raw array<string>, modality string, abstained boolean")
     assert [(r.asset_id, r.targets_canonical, r.moa_key) for r in enrich.load_model_answers(answers, assets, targets).collect()] == [("p", ["TP53"], "tp53")]
+
+
+def answer(**changes):
+    base = {"case_id": "c", "answer_md": "Petinib leads, 12 trials; see NCT00000001.", "caveats": ["phase is not approval"], "citations": [("NCT00000001", "why")], "entities": [("drug", "petinib")], "table": (["name", "n"], [["Petinib (Petinex)", "12"], ["Zolumab", "3"]])}
+    return base | changes
+
+
+ANSWERS = "case_id string, answer_md string, caveats array<string>, citations array<struct<nct_id: string, why: string>>, entities array<struct<kind: string, id: string>>, table struct<columns: array<string>, rows: array<array<string>>>"
+GOLD = "case_id string, kind string, entities array<string>, ncts array<string>, k int, must_mention array<string>, must_not_mention array<string>, borderline boolean"
+
+
+def test_cases_are_scored(spark):
+    gold = [("a", "contains_all", ["PETINIB", "zolumab", "absent"], [], None, [], [], False), ("b", "top_k_contains", ["zolumab"], [], 1, [], [], False), ("c", "refuse_approval", [], [], None, [], ["approved"], False), ("d", "honest_empty", [], [], None, [], [], False),
+            ("e", "role_split", [], [], None, ["subject", "approval"], [], True), ("f", "contains_all", ["petinib"], [], None, ["nowhere"], [], False), ("g", "contains_all", ["petinib"], [], None, [], [], False)]
+    answers = [answer(case_id=c) for c in "abcdef"]
+    got = {r.case_id: (round(r.score, 4), r.role, r.hard_failure) for r in evaluation.score_cases(spark.createDataFrame(answers, ANSWERS), spark.createDataFrame(gold, GOLD)).collect()}
+    assert got == {"a": (0.6667, "OBJ", 0), "b": (0.0, "OBJ", 0), "c": (1.0, "OBJ", 0), "d": (0.0, "OBJ", 0), "e": (0.5, "DIAG", 0), "f": (0.5, "OBJ", 0), "g": (0.0, "OBJ", 1)}
+
+
+def test_each_planted_defect_breaks_its_own_floor(spark):
+    retrieved = spark.createDataFrame([("c", "NCT00000001")], "case_id string, id string")
+    seen = spark.createDataFrame([("c", "PETINIB")], "case_id string, entity string")
+    clean = spark.createDataFrame([answer()], ANSWERS)
+    floors = lambda df: {k for k, v in evaluation.floors(df, retrieved, seen).first().asDict().items() if k != "case_id" and v}
+    assert floors(clean) == set()
+    for name, (plant, floor) in evaluation.DEFECTS.items():
+        assert floors(plant(clean)) == {floor}, name
+
+
+def test_reconciled_counts(spark):
+    partners = spark.createDataFrame([("a", "x", "N1"), ("a", "x", "N1")], "asset_id string, condition_key string, nct_id string")
+    programs = spark.createDataFrame([("a", "x", 12)], "asset_id string, condition_key string, n_trials long")
+    assert evaluation.reconciles(partners, programs, "a", "x", "1 of 12 trials") and not evaluation.reconciles(partners, programs, "a", "x", "2 of 12")
