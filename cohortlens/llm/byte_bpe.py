@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, frugal
 
 #: Code points of text that are split at once; bounds a worker's memory.
-CHUNK = 500_000
+CHUNK = 200_000
 #: Pieces that a worker remembers the ids of.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -205,4 +205,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 columns.insert(0, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, kept + made)
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run), schema)

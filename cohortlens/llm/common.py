@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows per Arrow batch: documents are long, and a batch lives in a Python worker's memory.
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,3 +56,37 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """The words of a text as an array (null and blank text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+#: Bits of the filter that `maybe_among` broadcasts: 16 MB at most, whatever the input's size.
+FILTER_BITS = 1 << 27
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with `maybe`: false only if key is surely not among ids (one column).
+
+    ids set bits of a filter of fixed size, which is broadcast as its words that aren't 0 (FILTER_BITS / 64 rows at most); so
+    wide rows needn't be shuffled to learn that they have no partner.  A full filter says true more often, never false
+    wrongly: an exact join has to follow where exactness matters."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    name = ids.columns[0]
+    set_bits = ids.where(F.col(name).isNotNull()).select(bit(F.col(name)).alias("bit"))
+    words = set_bits.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("_bits"))
+    flagged = df.withColumn("_bit", bit(F.col(key))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("(shiftright(_bits, cast(_bit & 63 AS int)) & 1L) = 1L")
+    return flagged.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches; at its end the worker gives freed memory back, as idle workers are kept for later tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped

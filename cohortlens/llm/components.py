@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def stars(links: DataFrame) -> DataFrame:
         found = [(v, r) for v in list(root) if (r := find(v)) != v]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return links.select("a", "b").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

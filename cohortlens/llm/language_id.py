@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches
+from .common import arrow_batches, frugal
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -108,7 +108,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text") -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(found[at])], ["lang", "bucket", "n"])
 
     # at most MAX_LANGS x BUCKETS sums, whatever the input's size
-    sums = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(frugal(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((BUCKETS, len(langs)), SMOOTHING)
     counts[sums.bucket, sums.lang.map({lang: i for i, lang in enumerate(langs)})] += sums.n
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str = "
             names, scores = score_texts(batch.column(text).to_pylist(), *shared.value, table)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run), schema)
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

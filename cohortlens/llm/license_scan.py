@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches
+from .common import arrow_batches, frugal
 from .near_dedup import _BASE, _BYTE, mix
 
 K, WINDOW, BAND, COVERAGE = 3, 2, 4, 0.8
-CHUNK = 1_000_000
+CHUNK = 250_000
 _U = np.uint64
 _PART = np.ones(256, bool)
 _PART[:128] = False
@@ -211,4 +211,4 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, leas
             found = [[vars(m) for m in ms] for ms in scan_texts(index, [t or "" for t in batch.column(text).to_pylist()], least)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found, kind)], [*kept, "licenses"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run), schema)

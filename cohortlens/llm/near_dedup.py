@@ -7,7 +7,7 @@ Chosen path: a set is embedded as SIZE minwise tokens.  A tree starts with all s
 selects tokens (one, and with probability 1/4 a second; the root two) by its own hash; a set goes to the child named by
 the token's value.  Sets with similarity 0.8 or more share a child with probability 0.8 or more, so expected
 1 of them goes on, and nodes of unlike sets fall apart.  A node of at most SMALL sets is
-a leaf; others branch, down to DEPTH, where what is left is cut into blocks of SMALL.  TREES independent
+a leaf; others branch until they stop shrinking or are DEPTH deep, and then are cut into blocks of SMALL.  TREES independent
 trees give the recall: a tree misses a pair at 0.8 with probability under 0.3 at the depths that are reached, all
 of them with under 0.3 ** 8.
 
@@ -15,8 +15,8 @@ Leaves are compared exhaustively by sketches (4 bits of every minwise token).  C
 not all pairs may come out, so links are found in two steps that lose no component:
 
 1. each leaf gives a maximum spanning forest of its likely pairs (estimate at least the limit minus 3.5 standard deviations); pairs
-   are confirmed on full sets.  Confirmed pairs give groups, all likely ones give families, and every link is within a
-   family;
+   are confirmed on full sets.  Confirmed pairs give groups; all likely ones, and nodes cut into blocks as wholes, give families,
+   and every link is within a family;
 2. in a family of several groups, sets outside its largest group meet all others, in blocks of BLOCK by BLOCK; likely pairs of
    different groups are confirmed on full sets there and then, and only links come out.
 
@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches, stored
+from .common import arrow_batches, frugal, maybe_among, stored
 from .components import components
 
-SIZE, TREES, DEPTH, SMALL = 128, 8, 5, 128
+SIZE, TREES, DEPTH, SMALL, TIGHT = 128, 8, 5, 128, 0.8
 #: Sets on each side of a block of comparisons.
 BLOCK = 256
 #: Characters that are shingled at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 _U = np.uint64
 _rng = np.random.default_rng(20_240_801)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
@@ -162,7 +162,7 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                 tokens.append(minwise(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "set_key", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary")
 
 
 def _level(sets: DataFrame, level: int) -> DataFrame:
@@ -176,22 +176,28 @@ def _level(sets: DataFrame, level: int) -> DataFrame:
                 parent, child, owner = paths(tokens, level)
                 yield pa.RecordBatch.from_arrays([pa.array(parent.view(np.int64)), pa.array(child.view(np.int64)), pa.array(ids[owner])], ["parent", "node", "id"])
 
-    return sets.select("id", "tokens").mapInArrow(run, "parent bigint, node bigint, id bigint")
+    return sets.select("id", "tokens").mapInArrow(frugal(run), "parent bigint, node bigint, id bigint")
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """node, id, n (the node's sets), of all nodes where trees end with two sets or more."""
-    found, large = [], None
+    """node, id, n (the node's sets), of all nodes where trees end with two sets or more.
+
+    A large node ends where it is, too, if it has kept TIGHT of its parent's sets: those are much alike, and branching
+    won't part them."""
+    found, above = [], None
     for level in range(1, DEPTH + 1):
         rows = _level(sets, level)
-        if large is not None:
-            rows = rows.join(large.select(F.col("node").alias("parent")), "parent", "left_semi")
-        rows = stored(rows.select("node", "id").distinct() if level > 1 else rows.select("node", "id"), f"level{level}")
-        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
-        ends = sizes if level == DEPTH else sizes.where(f"n <= {SMALL}")
-        found.append(rows.join(ends, "node"))
-        large = sizes.where(f"n > {SMALL}")
-        if level < DEPTH and large.isEmpty():
+        if above is not None:
+            rows = rows.join(above.where("goes_on").select(F.col("node").alias("parent"), F.col("n").alias("n_parent")), "parent")
+        else:
+            rows = rows.withColumn("n_parent", F.lit(1 << 62))
+        rows = stored(rows.select("node", "id", "n_parent"), f"level{level}")
+        sizes = rows.groupBy("node").agg(F.count_distinct("id").alias("n"), F.max("n_parent").alias("n_parent")).where("n > 1")
+        goes_on = (F.col("n") > SMALL) & (F.col("n") < TIGHT * F.col("n_parent")) & F.lit(level < DEPTH)
+        sizes = stored(sizes.select("node", "n", goes_on.alias("goes_on")), f"sizes{level}")
+        found.append(rows.select("node", "id").join(sizes.where("NOT goes_on").select("node", "n"), "node").distinct())
+        above = sizes
+        if sizes.where("goes_on").isEmpty():
             break
     out = found[0]
     for more in found[1:]:
@@ -290,7 +296,7 @@ def _candidates(rows: DataFrame, limit: float) -> DataFrame:
             yield solve(pa.concat_tables(held))
 
     sorted_rows = rows.repartition("node", "block").sortWithinPartitions("node", "block")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -303,19 +309,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sure = [alike(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (sorted, binary) of the documents with these ids."""
+    """id, shingles (sorted, binary) of the documents with these ids, and maybe of some others.  Texts aren't shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, shingles binary")
+    wanted = maybe_among(docs.select("doc_id", "text"), "doc_id", ids.select("id")).where("maybe").select("doc_id", "text")
+    return wanted.mapInArrow(frugal(run), "id bigint, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -340,10 +346,14 @@ def _links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFr
     limit = j - 3.5 * ((j + (1 - j) / 16) * (1 - j - (1 - j) / 16) / SIZE) ** 0.5 * 16 / 15
     nodes = stored(leaves(sets), "leaves")
     sketches = _sketches(sets)
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)).cast("int")
+    # which sets of a large node share a block differs from node to node
+    block = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / SMALL)).cast("int")
     rows = nodes.withColumn("block", F.when(F.col("n") > SMALL, block).otherwise(F.lit(0)))
     first = stored(_candidates(rows.join(sketches, "id").select("node", "block", "id", "sketch"), limit), "forests")
-    families = components(first).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
+    large = nodes.where(F.col("n") > SMALL)
+    heads = large.groupBy("node").agg(F.min("id").alias("b"))
+    whole = large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    families = components(first.union(whole)).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
     full = stored(_full_sets(docs, families, width), "full")
     sure = stored(_confirm(first, full, percent), "links1")
     groups = components(sure).select(F.col("vertex").alias("id"), F.col("component").alias("grp"))
@@ -408,7 +418,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIZE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sketch(tokens)], pa.binary())], ["id", "sketch"])
 
-    return sets.select("id", "tokens").mapInArrow(run, "id bigint, sketch binary")
+    return sets.select("id", "tokens").mapInArrow(frugal(run), "id bigint, sketch binary")
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, frugal
 
 KINDS = ("email", "ip", "card", "phone")
 #: Entity length in tokens, at most; digits of a region, at least.
@@ -267,7 +267,7 @@ def train(docs: DataFrame, text: str = "text") -> Field:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "at", "piece", "a", "b"])
 
-    found = picked.mapInArrow(find, "doc_id bigint, at bigint, piece string, a bigint, b bigint")
+    found = picked.mapInArrow(frugal(find), "doc_id bigint, at bigint, piece string, a bigint, b bigint")
     rows = found.orderBy(F.xxhash64("piece"), "doc_id", "at").limit(SAMPLE_REGIONS).collect()
     return fit([(r.piece, r.a, r.b, gold_of(r.piece, r.a, r.b)) for r in rows])
 
@@ -311,7 +311,7 @@ def find_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -341,4 +341,4 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> D
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import byte_bpe, mixing, near_dedup, pii, quality
-from cohortlens.llm.common import read, stored
+from cohortlens.llm.common import maybe_among, read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,9 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8) the least doc_id stays, once."""
     found = stored(near_dedup.near_duplicates(docs, width=5, percent=80), "near-duplicates")
-    docs = docs.select(*COLUMNS)
     dropped = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    # most documents are surely kept and aren't shuffled; the rest meet the exact list
+    told = maybe_among(docs.select(*COLUMNS), "doc_id", dropped)
+    unsure = told.where("maybe").join(dropped, "doc_id", "left_anti")
+    kept = told.where("NOT maybe").select(*COLUMNS).union(unsure.select(*COLUMNS))
     repeated = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
