@@ -25,6 +25,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches
+from .common import arrow_batches, frugal
 
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-#: The dictionary's training sample: at most so many documents, of each the first so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 4096, 32 << 10
+#: The dictionary's training sample: at most so many documents, of each the first so many characters.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 4096, 32 << 10
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 
 _BLOCKS = (
     "shard int, block int, first_doc bigint, last_doc bigint, dict_hash string, width int, doc_ids array<bigint>, "
@@ -48,8 +49,8 @@ _BLOCKS = (
 
 #: Words that the tokenizer leaves as they are and takes as one piece each: lower-case Latin-1 letters, composed.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
-#: A comma or stop between an ASCII letter and white space is a piece of its own.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+#: An ASCII sign after a Latin letter begins a new piece.
+_SIGN = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
 class WordEncoder:
@@ -94,41 +95,42 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for chunk in chunks(texts):
-            split = [None if "<|" in t else _STOP.sub(rb" \1", t.encode().lower()).split() for t in chunk]
+            split = [None if "<|" in t else _SIGN.sub(rb" \g<0>", t.encode().lower()).split() for t in chunk]
             found = [None if ws is None else [*map(known.get, ws)] for ws in split]
-            fresh = self._new(list({w for ws, f in zip(split, found, strict=True) if f and None in f for w, ids in zip(ws, f, strict=True) if ids is None}))
-            for text, ws, f in zip(chunk, split, found, strict=True):
-                if f is None:
-                    yield self._ids([text])[0] + self.end
-                else:
-                    yield b"".join([fresh[w] if ids is None else ids for w, ids in zip(ws, f, strict=True)] if None in f else f) + self.end
+            holes = [(f, ws, [i for i, ids in enumerate(f) if ids is None]) for f, ws in zip(found, split, strict=True) if f and None in f]
+            fresh = self._new([*{ws[i] for _, ws, at in holes for i in at}])
+            for f, ws, at in holes:
+                for i in at:
+                    f[i] = fresh[ws[i]]
+            for text, f in zip(chunk, found, strict=True):
+                yield (self._ids([text])[0] if f is None else b"".join(f)) + self.end
             if len(known) < CACHE_WORDS:
                 known |= fresh
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """This worker's encoder: what it remembers outlives a task."""
+    return WordEncoder(path, end_id)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> bytes:
-    """A dictionary from the documents whose ids hash lowest; b"" if they are too few or alike."""
+    """A dictionary from the documents whose ids hash lowest, SAMPLE_CHARS of each; b"" if they are too few or alike.
+
+    The sample (4 MB at most) is encoded on the driver."""
     import zstandard
 
     key = F.xxhash64("doc_id")
     ids = docs.select("doc_id").orderBy(key, "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", text)
-
-    def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
-        for batch in batches:
-            made = [b[:SAMPLE_BYTES] for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "sample"])
-
-    found = sample.mapInArrow(serialize, "doc_id bigint, sample binary").orderBy(F.xxhash64("doc_id"), "doc_id", "sample")
-    samples = [bytes(r.sample) for r in found.limit(SAMPLE_DOCS).collect()]
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS).alias("t"))
+    texts = [r.t for r in sample.orderBy(key, "doc_id", "t").limit(SAMPLE_DOCS).collect()]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [*word_encoder(tokenizer_path, end_id).encode(texts)]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, text: str = "text", level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, text: str = "text", level: int = 1) -> None:
     """Encode docs (doc_id, text) and write the token file set at path.  One shuffle, of the
     texts by range of doc_id; a block's bytes are all that a worker holds."""
     spark = docs.sparkSession
@@ -141,28 +143,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         import zstandard
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = word_encoder(tokenizer_path, end_id)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        shard, block, start = TaskContext.get().partitionId(), 0, 0
+        shard, block, start, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, frames, counts, starts = [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block
+            nonlocal block, held
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
             known = [i for i in ids if i is not None]
             row = [shard, block, min(known, default=None), max(known, default=None), dict_hash, encoder.dtype.itemsize, ids[:], offsets, counts[:], starts[:], sum(counts), b"".join(frames)]
-            block += 1
+            block, held = block + 1, 0
             for x in (ids, frames, counts, starts):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow_schema, strict=True)], schema=arrow_schema)
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                if frames and (len(frames) >= BLOCK_DOCS or sum(map(len, frames)) + len(raw) > BLOCK_BYTES):
+                if frames and (len(frames) >= BLOCK_DOCS or held + len(raw) > BLOCK_BYTES):
                     yield flush()
                 n = len(raw) // encoder.dtype.itemsize
                 ids.append(doc_id)
                 frames.append(packer.compress(raw))
+                held += len(frames[-1])
                 counts.append(n)
                 starts.append(start)
                 start += n
@@ -176,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     )
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", text).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text)
-    ranged.mapInArrow(compress, _BLOCKS).write.parquet(f"{path}/blocks")
+    ranged.mapInArrow(frugal(compress), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def unpack(path: str, spark: SparkSession):
@@ -216,7 +219,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     wanted = blocks.select("shard", "dict_hash", "width", "doc_ids", "frame_offsets", "n_tokens", "starts", "frames")
-    return wanted.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
+    return wanted.mapInArrow(frugal(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
