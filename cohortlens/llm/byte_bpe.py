@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, frugal
 
 #: Code points of text that are split at once; bounds a worker's memory.
-CHUNK = 200_000
+CHUNK = 400_000
 #: Pieces that a worker remembers the ids of.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 150_000
 
 
 def byte_alphabet() -> list[str]:
