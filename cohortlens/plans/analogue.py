@@ -36,7 +36,8 @@ def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.date_sub(day, 400).alias("start_date_parsed"), F.when(F.col("o_orderkey") % 17 != 0, day).alias("completion_date_parsed"),
         F.date_add(day, (F.col("o_custkey") % 200).cast("int")).alias("last_update_date_parsed"),
     )
-    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("quantity"))
+    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min(F.ascii("l_returnflag")).alias("_flag"), F.min("l_quantity").alias("quantity"))
+    lines = lines.withColumn("flag", F.char("_flag"))  # numbers aggregate by hash, strings by sort
     lines = lines.join(part, lines.l_partkey == part.p_partkey).withColumn("nct_id", F.concat(F.lit("T"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")))
     lines = lines.withColumns({"intervention_no": F.col("l_linenumber"), "asset_id": asset(), "arm_no": F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)})
     interventions = lines.select("nct_id", "intervention_no", F.when(F.col("p_size") % 7 == 0, "DEVICE").otherwise("DRUG").alias("type"), F.col("p_name").alias("name_raw"), none.alias("description"))
