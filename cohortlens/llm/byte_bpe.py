@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, frugal
+from .common import arrow_batches, frugal, remembers
 
 #: Code points of text that are split at once; bounds a worker's memory.
 CHUNK = 400_000
@@ -146,6 +146,7 @@ class ByteBpe:
 
 
 _CODECS: dict[str, ByteBpe] = {}
+remembers("codec", _CODECS.clear)
 
 
 def codec(ranks: dict[bytes, int], definition: str, pattern: str) -> ByteBpe:
@@ -205,4 +206,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 columns.insert(0, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, kept + made)
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run, "codec"), schema)

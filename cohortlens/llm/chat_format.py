@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, frugal
+from .common import arrow_batches, frugal, remembers
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED_ROLE = "assistant"
@@ -96,6 +96,9 @@ def encoder(path: str):
     return t
 
 
+remembers("chat", encoder.cache_clear)
+
+
 def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row a conversation: conv_id, formatted string, ids array<int>, loss_mask
     array<boolean>, turns array<struct<role, text>> and loss_text, both read back from the output.
@@ -121,7 +124,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made, kinds)], ["conv_id", "formatted", "ids", "loss_mask", "turns", "loss_text"])
 
-    return grouped.mapInArrow(frugal(run), "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>, turns array<struct<role: string, text: string>>, loss_text string")
+    return grouped.mapInArrow(frugal(run, "chat"), "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>, turns array<struct<role: string, text: string>>, loss_text string")
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:

@@ -77,11 +77,23 @@ def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return flagged.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run over batches; at its end the worker gives freed memory back, as idle workers are kept for later tasks."""
+#: What this worker remembers between tasks, by name, and how to forget it.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _MEMORIES[name] = forget
+
+
+def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run over batches.  The worker first forgets what other operators remembered, and in the end gives freed memory back, as
+    idle workers are kept for later tasks."""
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        for name, forget in _MEMORIES.items():
+            if name != keeps:
+                forget()
         try:
             yield from run(batches)
         finally:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches, frugal
+from .common import arrow_batches, frugal, remembers
 
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: The dictionary's training sample: at most so many documents, of each the first so many characters.
@@ -114,6 +114,9 @@ def word_encoder(path: str, end_id: int) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+remembers("words", word_encoder.cache_clear)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> bytes:
     """A dictionary from the documents whose ids hash lowest, SAMPLE_CHARS of each; b"" if they are too few or alike.
 
@@ -179,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     )
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", text).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text)
-    ranged.mapInArrow(frugal(compress), _BLOCKS).write.parquet(f"{path}/blocks")
+    ranged.mapInArrow(frugal(compress, "words"), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def unpack(path: str, spark: SparkSession):
