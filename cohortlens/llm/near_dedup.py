@@ -368,7 +368,37 @@ def _links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFr
     stays = F.transform(F.sequence(F.lit(0), asks - 1), lambda k: place(k, mine(asked), False))
     goes = F.transform(F.sequence(F.lit(0), asked - 1), lambda k: place(mine(asks), k, True))
     rows = rows.select("id", "family", "grp", F.inline(F.when(F.col("grp") == F.col("main"), stays).otherwise(F.concat(stays, goes))))
-    return sure.union(_across(rows.join(sketches, "id").join(full, "id"), limit, percent))
+    rows = stored(rows, "blocks")
+    # sketches go first, so that full sets travel only for sets with a likely pair
+    touched = stored(_touched(rows.join(sketches, "id"), limit), "touched")
+    return sure.union(_across(rows.join(touched, "id", "left_semi").join(sketches, "id").join(full, "id"), limit, percent))
+
+
+def _near(q: pd.DataFrame, t: pd.DataFrame, limit: float) -> Iterator[tuple[int, list[int]]]:
+    """For each asking set's place, the places of likely ones of other groups."""
+    low = [unpacked(np.frombuffer(b"".join(x.sketch), np.uint8).reshape(-1, SIZE // 2)) for x in (q, t)]
+    groups = q.grp.to_numpy(), t.grp.to_numpy()
+    for i in range(len(q)):
+        near = similarity((low[1] == low[0][i]).sum(axis=1, dtype=np.int16)) >= limit
+        found = np.flatnonzero(near & (groups[1] != groups[0][i]))
+        if len(found):
+            yield i, found.tolist()
+
+
+def _touched(rows: DataFrame, limit: float) -> DataFrame:
+    """id of the sets that have a likely pair in another group.  rows: id, family, grp, ask, at, asking, sketch."""
+
+    def ids(block: pd.DataFrame) -> pd.DataFrame:
+        q, t = block[block.asking], block[~block.asking]
+        found: set[int] = set()
+        if len(q) and len(t):
+            own, other = q.id.to_numpy(), t.id.to_numpy()
+            for i, js in _near(q, t, limit):
+                found.add(int(own[i]))
+                found.update(other[js].tolist())
+        return pd.DataFrame({"id": pd.Series(sorted(found), dtype="int64")})
+
+    return rows.select("id", "family", "grp", "ask", "at", "asking", "sketch").groupBy("family", "ask", "at").applyInPandas(ids, "id bigint").distinct()
 
 
 def _across(rows: DataFrame, limit: float, percent: int) -> DataFrame:
@@ -388,12 +418,10 @@ def _across(rows: DataFrame, limit: float, percent: int) -> DataFrame:
                     x = root[x]
                 return x
 
-            low = [unpacked(np.frombuffer(b"".join(x.sketch), np.uint8).reshape(-1, SIZE // 2)) for x in (q, t)]
             sets = [[np.frombuffer(s, _U) for s in x.shingles] for x in (q, t)]
             ids, groups = (q.id.to_numpy(), t.id.to_numpy()), (q.grp.to_numpy(), t.grp.to_numpy())
-            for i in range(len(q)):
-                near = similarity((low[1] == low[0][i]).sum(axis=1)) >= limit
-                for j in np.flatnonzero(near & (groups[1] != groups[0][i])).tolist():
+            for i, js in _near(q, t, limit):
+                for j in js:
                     g, h = find(int(groups[0][i])), find(int(groups[1][j]))
                     if g != h and alike(sets[0][i], sets[1][j], percent):
                         root[g] = h
