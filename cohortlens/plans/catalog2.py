@@ -281,6 +281,30 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.connected_components(edges)
 
 
+ALL_CLAIMS_SQL = """WITH claims AS (SELECT 'a' || (l_partkey % 400) AS alias, 'k' || (CASE WHEN l_partkey % 4 < 1 OR (l_partkey % 4 = 1 AND l_suppkey % 40 > 0) THEN l_partkey % 400 % 7 ELSE l_suppkey % 9 END) AS owner, l_orderkey AS trial FROM lineitem)"""
+
+
+def _all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a claim; the alias says whether it has one owner, one and a few strays, or many."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    owner = F.when((part % 4 < 1) | ((part % 4 == 1) & (supp % 40 > 0)), part % 400 % 7).otherwise(supp % 9)
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), (part % 400).cast("string")).alias("alias"), F.concat(F.lit("k"), owner.cast("string")).alias("owner"), F.col("l_orderkey").alias("trial"))
+
+
+@query("dominance_aliases_all", ALL_CLAIMS_SQL + """, s AS (SELECT alias, owner AS root, count(DISTINCT trial) AS n FROM claims GROUP BY ALL)
+SELECT alias, CASE WHEN m = 1 OR (n >= 5 AND n >= 10 * n2) THEN root END AS root, n, m AS n_claimants, CASE WHEN m = 1 THEN 'sole' WHEN n >= 5 AND n >= 10 * n2 THEN 'dominance' ELSE 'vetoed' END AS decision
+FROM (SELECT *, lead(n) OVER w AS n2, count(*) OVER (PARTITION BY alias) AS m, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY alias ORDER BY n DESC, root)) WHERE r = 1""", registry_sql=False)
+def dominance_aliases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nobody = spark.createDataFrame([], "id string, root string")
+    return resolution.decide_aliases(resolution.alias_support(_all_claims(spark, sf_dir), nobody))
+
+
+@query("merge_support_all", ALL_CLAIMS_SQL + " SELECT alias, owner AS root, count(DISTINCT trial) AS n FROM claims GROUP BY ALL HAVING count(DISTINCT trial) >= 2", registry_sql=False)
+def merge_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nobody = spark.createDataFrame([], "id string, root string")
+    return resolution.alias_support(_all_claims(spark, sf_dir), nobody).where("n >= 2")
+
+
 @query("connected_components_all", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(id, root) USING KEY (id) AS (SELECT a, min(least(a, b)) FROM v GROUP BY a
   UNION SELECT v.b, min(r.root) FROM r JOIN v ON v.a = r.id JOIN recurring.r AS s ON s.id = v.b WHERE r.root < s.root GROUP BY v.b) SELECT id, root FROM r""", registry_sql=False)
@@ -311,6 +335,32 @@ def prf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pooled(_scores(spark, sf_dir))
 
 
+ALL_CASES_SQL = """WITH o AS (SELECT o_custkey % 20 AS c, o_orderkey AS item, o_orderstatus = 'O' AS same FROM orders), r AS (SELECT DISTINCT CASE c WHEN 7 THEN 8 ELSE c END AS case_id, item FROM o),
+g AS (SELECT DISTINCT CASE WHEN c = 4 OR (c = 3 AND NOT same) THEN 5 WHEN same THEN c ELSE (c + 1) % 20 END AS case_id, item FROM o),
+n AS (SELECT coalesce(r.case_id, g.case_id) AS case_id, count(r.item) AS n_returned, count(g.item) AS n_gold, count(r.item) FILTER (g.item IS NOT NULL) AS n_hit FROM r FULL JOIN g ON r.case_id = g.case_id AND r.item = g.item GROUP BY 1)"""
+
+
+def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is returned for a case and expected for the same or another one; case 7 returns nothing and case 4 expects nothing."""
+    c, same = F.col("o_custkey") % 20, F.col("o_orderstatus") == "O"
+    o = table(spark, sf_dir, "orders").withColumn("item", F.col("o_orderkey"))
+    returned = o.select(F.when(c == 7, 8).otherwise(c).alias("case_id"), "item")
+    gold = o.select(F.when((c == 4) | ((c == 3) & ~same), 5).when(same, c).otherwise((c + 1) % 20).alias("case_id"), "item")
+    return metrics.set_scores(returned, gold, "case_id", "item")
+
+
+@query("prf_by_case_all", ALL_CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 1.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 1.0 END AS recall FROM n)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s""", registry_sql=False)
+def prf_by_case_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_scores(spark, sf_dir)
+
+
+@query("prf_pooled_all", ALL_CASES_SQL + """, s AS (SELECT CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM n), p AS (SELECT *, n_hit / n_returned AS precision, n_hit / n_gold AS recall FROM s)
+SELECT *, 2 * precision * recall / (precision + recall) AS f1, n_gold >= 30 AS gating FROM p""", registry_sql=False)
+def prf_pooled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pooled(_all_scores(spark, sf_dir))
+
+
 @query("floor_rollup", """SELECT n_nationkey AS grp, coalesce(string_agg(DISTINCT 'm' || (s_suppkey % 4), ',' ORDER BY 'm' || (s_suppkey % 4)) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0), '') AS breaches,
 coalesce(avg(s_suppkey % 5) FILTER (s_suppkey % 3 = 1), 0) AS objective, count(*) AS n_checks, count(*) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0) = 0 AS passed FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""", registry_sql=False)
 def floor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
