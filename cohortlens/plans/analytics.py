@@ -43,11 +43,17 @@ def condition_landscape(t: Tables, condition: str, figures: Sequence[str] | None
     }, figures)
 
 
+#: Columns of the matrix: all phases, not applicable, and none or any other.
+MATRIX_PHASES = [*views.PHASES, "NA", views.UNKNOWN]
+
+
 def sponsor_phase_matrix(t: Tables, condition: str | None = None) -> DataFrame:
+    """Trials by lead company and phase; every trial is counted in one cell."""
     trials = views.trials(t).where("lead_company_id IS NOT NULL")
     if condition is not None:
         trials = trials.join(views.trial_conditions_primary(t).where(F.col("condition_key") == condition).select("nct_id"), "nct_id", "left_semi")
-    return matrix(trials, "lead_company_id", "phase_norm", list(views.PHASES), F.count(F.lit(1)))
+    known = F.when(F.col("phase_norm").isin(MATRIX_PHASES), F.col("phase_norm")).otherwise(views.UNKNOWN)
+    return matrix(trials.withColumn("phase_norm", known), "lead_company_id", "phase_norm", MATRIX_PHASES, F.count(F.lit(1)))
 
 
 def asset_landscape(t: Tables, asset: str, figures: Sequence[str] | None = None) -> DataFrame:

@@ -69,6 +69,14 @@ def sponsor_phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.matrix(t, "lead_company_id", "phase_norm", ["PHASE1", "PHASE2", "PHASE3", "PHASE4"], F.count(F.lit(1)))
 
 
+@query("sponsor_phase_matrix_all", """
+SELECT lead_company_id, count(*) FILTER (phase_norm = 'EARLY_PHASE1') AS EARLY_PHASE1, count(*) FILTER (phase_norm = 'PHASE1') AS PHASE1, count(*) FILTER (phase_norm = 'PHASE2') AS PHASE2, count(*) FILTER (phase_norm = 'PHASE3') AS PHASE3,
+       count(*) FILTER (phase_norm = 'PHASE4') AS PHASE4, count(*) FILTER (phase_norm = 'NA') AS NA, count(*) FILTER (phase_norm IS NULL) AS unknown
+FROM spine WHERE lead_company_id IS NOT NULL GROUP BY ALL""")
+def sponsor_phase_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.sponsor_phase_matrix(registry(spark, sf_dir))
+
+
 @query("sponsor_top10", """
 SELECT lead_company_id AS label, count(*) AS value FROM spine WHERE lead_company_id IS NOT NULL AND is_industry GROUP BY ALL ORDER BY value DESC, label LIMIT 10""")
 def sponsor_top10(spark: SparkSession, sf_dir: str) -> DataFrame:

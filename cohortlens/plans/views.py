@@ -22,6 +22,7 @@ READING_OUT = ["RECRUITING", "NOT_YET_RECRUITING", "ENROLLING_BY_INVITATION", "A
 STOPPED = ["TERMINATED", "WITHDRAWN", "SUSPENDED"]
 DEVELOPING = ["subject", "unknown"]
 UNCLASSIFIED = "Unclassified"
+UNKNOWN = "unknown"
 SNAPSHOT_MONTHS = 36
 
 

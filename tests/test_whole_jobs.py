@@ -1,6 +1,9 @@
 """Queries over whole tables, against brute force on small tables with rows that the subset queries leave out."""
 
-from cohortlens.plans import catalog
+from cohortlens.plans import analytics, catalog, views
+from cohortlens.plans.analogue import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_connected_components_of_all_edges(spark, tmp_path):
@@ -33,3 +36,10 @@ def test_every_order_is_returned_and_expected(spark, tmp_path):
     assert by_case[7].n_returned == 0 and by_case[4].n_gold == 0
     (pooled,) = catalog.QUERIES["prf_pooled_all"](spark, str(tmp_path)).collect()
     assert (pooled.n_returned, pooled.n_gold, pooled.n_hit) == (400, 400, 190)  # half of 18 cases, and the other half of case 7
+
+
+def test_every_trial_is_in_a_cell_of_the_matrix(spark):
+    t = registry(spark, SF)
+    made = analytics.sponsor_phase_matrix(t).collect()
+    assert sum(sum(r[1:]) for r in made) == views.trials(t).where("lead_company_id IS NOT NULL").count()
+    assert sum(r["unknown"] for r in made) > 0 and sum(r["EARLY_PHASE1"] for r in made) > 0
