@@ -81,7 +81,7 @@ def company_landscape(t: Tables, company: str, figures: Sequence[str] | None = N
     return _figures(parts, figures or ["areas", "phases", "statuses"])
 
 
-def funnel(t: Tables) -> DataFrame:
+def funnel_steps(t: Tables) -> DataFrame:
     """key, value: how many studies, assets and labels are left after each step, and percentages (half to even)."""
     drug = (F.col("study_type") == "INTERVENTIONAL") & F.col("is_drug_trial")
     spine = views.trials(t).agg(
@@ -97,3 +97,55 @@ def funnel(t: Tables) -> DataFrame:
         "pct_labeled": percent(F.col("labeled"), F.col("assets") + F.col("combos")),
     })
     return one.select([F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "key", "value")
+
+
+def _counts(rows: DataFrame, prefix: str, name: str, value: Column) -> DataFrame:
+    return rows.groupBy(F.concat(F.lit(f"{prefix}:"), F.col(name)).alias("key")).agg(value.cast("double").alias("value"))
+
+
+def funnel(t: Tables) -> DataFrame:
+    """key, value: the steps; what is left within the scope (industry, interventional, drug), mechanisms by tier, and censuses, one key a
+    reason, role or kind (`gate:`, `denoise:`, `role:`, `pct_population:`).  Keys of tables that are not there are left out."""
+    spine, assigned = views.trials(t), t["trial_assets"]
+    drug = (F.col("study_type") == "INTERVENTIONAL") & F.col("is_drug_trial")
+    flags = spine.agg(F.count_if("is_drug_trial").alias("drug_any_type"), F.count_if("is_industry").alias("industry_any_type"), F.count_if(drug).alias("_drug"), F.count("*").alias("_studies"))
+    named = F.col("via") == "name"
+    labels = views.moa(t).select("asset_id").distinct().withColumn("_moa", F.lit(True))
+    scoped = assigned.where(F.col("role").isin(views.DEVELOPING)).join(spine.where(drug & F.col("is_industry")).select("nct_id"), "nct_id").join(labels, "asset_id", "left").agg(
+        F.count_if(named).alias("in_scope_trial_asset_rows"), F.count_if(named & F.col("_moa")).alias("in_scope_trial_asset_rows_with_moa"),
+        F.count_distinct("asset_id").alias("in_scope_assets"), F.count_distinct(F.when(F.col("_moa"), F.col("asset_id"))).alias("in_scope_assets_with_moa"))
+    inputs = t["interventions"].where(F.col("type").isin(views.DRUG_TYPES)).select("nct_id", "intervention_no")
+    keyed = inputs.join(assigned.where(named).select("nct_id", "intervention_no").distinct(), ["nct_id", "intervention_no"], "left_semi")
+    singles = [
+        flags, scoped, inputs.agg(F.count("*").alias("interventions_drug")), keyed.agg(F.count("*").alias("interventions_keyed")),
+        views.trial_conditions_primary(t).agg(F.count_distinct(F.when(F.col("source") == "listed", F.col("nct_id"))).alias("listed_only")),
+        spine.where(drug).join(t["arms"].select("nct_id").distinct(), "nct_id", "left_semi").agg(F.count("*").alias("drug_with_arms")),
+        t["chembl_moa"].agg(F.count_distinct("asset_id").alias("moa_assets_chembl")), t["asset_curated_moa"].agg(F.count_distinct("asset_id").alias("moa_assets_curated")),
+        t["asset_nlm_classes"].agg(F.count_distinct("asset_id").alias("moa_assets_nlm_class")),
+        t["asset_enrichment"].agg(F.count_if(~F.col("abstained")).alias("moa_assets_llm"), F.count_if("abstained").alias("moa_assets_llm_abstained")),
+        t["build_meta"].where("key = 'snapshot_date'").agg(F.max(F.date_format(F.col("value").cast("date"), "yyyyMMdd").cast("double")).alias("snapshot_date")),
+    ]
+    if "contested_aliases" in t:
+        singles.append(t["contested_aliases"].agg(F.count_if(F.col("resolution") == "vetoed").alias("contested_aliases"), F.count_if(F.col("resolution").startswith("dominance:")).alias("alias_dominance")))
+    if "gate_census" in t:
+        singles.append(t["gate_census"].agg(F.coalesce(F.sum(F.when(~F.col("reason").startswith("route_"), F.col("n"))), F.lit(0)).alias("interventions_gated")))
+    if "ingest_failures" in t:
+        singles.append(t["ingest_failures"].agg(F.count("*").alias("parse_failures")))
+    one = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), singles).withColumns({
+        "pct_in_scope_rows_labeled": percent(F.col("in_scope_trial_asset_rows_with_moa"), F.col("in_scope_trial_asset_rows")),
+        "pct_in_scope_assets_labeled": percent(F.col("in_scope_assets_with_moa"), F.col("in_scope_assets")),
+        "pct_interventions_keyed": percent(F.col("interventions_keyed"), F.col("interventions_drug")),
+        "pct_drug_with_arms": percent(F.col("drug_with_arms"), F.col("_drug")),
+    })
+    shown = [c for c in one.columns if not c.startswith("_")]
+    kinds = t["population_mentions"].select("nct_id", "kind").distinct().join(F.broadcast(flags.select("_studies")), F.lit(True))
+    parts = [
+        funnel_steps(t), one.select([F.col(c).cast("double").alias(c) for c in shown]).unpivot([], shown, "key", "value"),
+        _counts(assigned.select("nct_id", "asset_id", "role").distinct(), "role", "role", F.count("*")),
+        _counts(kinds, "pct_population", "kind", percent(F.count("*"), F.max("_studies"))),
+    ]
+    if "gate_census" in t:
+        parts.append(_counts(t["gate_census"].where("NOT startswith(reason, 'route_')"), "gate", "reason", F.sum("n")))
+    if "condition_denoised" in t:
+        parts.append(_counts(t["condition_denoised"], "denoise", "reason", F.count("*")))
+    return reduce(DataFrame.union, parts)

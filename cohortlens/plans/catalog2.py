@@ -126,6 +126,40 @@ SELECT * FROM (
   UNION ALL SELECT 'pct_decided', round_even(100.0 * decided / greatest(trial_assets, 1), 1)::DOUBLE FROM f
   UNION ALL SELECT 'pct_labeled', round_even(100.0 * labeled / greatest(assets + combos, 1), 1)::DOUBLE FROM f)""")
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.funnel_steps(registry(spark, sf_dir))
+
+
+@query("funnel_all", """
+, scope AS (
+  SELECT u.nct_id, u.no, u.asset_id, u.asset_id IN (SELECT asset_id FROM moa) AS labeled FROM uses u JOIN spine s ON s.nct_id = u.nct_id
+  WHERE s.study_type = 'INTERVENTIONAL' AND s.is_drug_trial AND s.is_industry AND u.role <> 'comparator'
+), f AS (
+  SELECT (SELECT count(*) FROM spine) AS studies, (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL') AS interventional,
+         (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial) AS drug, (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial AND is_industry) AS industry,
+         (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial AND is_industry AND program_exists) AS in_scope,
+         (SELECT count(*) FROM spine WHERE is_drug_trial) AS drug_any_type, (SELECT count(*) FROM spine WHERE is_industry) AS industry_any_type,
+         (SELECT count(DISTINCT nct_id) FROM cond WHERE source = 'mesh_leaf') AS with_mesh, (SELECT count(DISTINCT nct_id) FROM cond WHERE source = 'listed') AS listed_only,
+         (SELECT count(*) FROM roles) AS trial_assets, (SELECT count(*) FROM roles WHERE role <> 'unknown') AS decided,
+         (SELECT count(*) FROM asset WHERE NOT is_combo) AS assets, (SELECT count(*) FROM asset WHERE is_combo) AS combos, (SELECT count(DISTINCT asset_id) FROM moa) AS labeled,
+         (SELECT count(*) FROM scope) AS in_scope_trial_asset_rows, (SELECT count(*) FROM scope WHERE labeled) AS in_scope_trial_asset_rows_with_moa,
+         (SELECT count(DISTINCT asset_id) FROM scope) AS in_scope_assets, (SELECT count(DISTINCT asset_id) FROM scope WHERE labeled) AS in_scope_assets_with_moa,
+         (SELECT count(*) FROM lines WHERE p_size % 7 <> 0) AS interventions_drug, (SELECT count(*) FROM uses WHERE p_size % 7 <> 0) AS interventions_keyed,
+         (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial AND nct_id IN (SELECT nct_id FROM lines)) AS drug_with_arms,
+         (SELECT count(DISTINCT asset_id) FROM moa WHERE tier = 1) AS moa_assets_chembl, (SELECT count(DISTINCT asset_id) FROM moa WHERE tier = 2) AS moa_assets_curated,
+         (SELECT count(DISTINCT asset_id) FROM moa WHERE tier = 3) AS moa_assets_nlm_class, (SELECT count(*) FROM moa WHERE tier = 4) AS moa_assets_llm,
+         (SELECT count(*) FROM asset WHERE n IN ('0', '3') AND k % 7 = 0) AS moa_assets_llm_abstained, (SELECT strftime(max(snapshot_date), '%Y%m%d')::BIGINT FROM spine) AS snapshot_date
+)
+SELECT key, value::DOUBLE AS value FROM (UNPIVOT f ON COLUMNS(*) INTO NAME key VALUE value)
+UNION ALL SELECT 'pct_with_mesh', round_even(100.0 * with_mesh / greatest(studies, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_decided', round_even(100.0 * decided / greatest(trial_assets, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_labeled', round_even(100.0 * labeled / greatest(assets + combos, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_in_scope_rows_labeled', round_even(100.0 * in_scope_trial_asset_rows_with_moa / greatest(in_scope_trial_asset_rows, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_in_scope_assets_labeled', round_even(100.0 * in_scope_assets_with_moa / greatest(in_scope_assets, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_interventions_keyed', round_even(100.0 * interventions_keyed / greatest(interventions_drug, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'pct_drug_with_arms', round_even(100.0 * drug_with_arms / greatest(drug, 1), 1)::DOUBLE FROM f
+UNION ALL SELECT 'role:' || role, count(*) FROM roles GROUP BY role
+UNION ALL SELECT 'pct_population:' || kind, round_even(100.0 * count(DISTINCT nct_id) / (SELECT greatest(studies, 1) FROM f), 1)::DOUBLE FROM mention GROUP BY kind""")
+def funnel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.funnel(registry(spark, sf_dir))
 
 

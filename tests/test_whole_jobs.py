@@ -43,3 +43,17 @@ def test_every_trial_is_in_a_cell_of_the_matrix(spark):
     made = analytics.sponsor_phase_matrix(t).collect()
     assert sum(sum(r[1:]) for r in made) == views.trials(t).where("lead_company_id IS NOT NULL").count()
     assert sum(r["unknown"] for r in made) > 0 and sum(r["EARLY_PHASE1"] for r in made) > 0
+
+
+def test_funnel_has_the_censuses(spark):
+    t = {name: df for name, df in registry(spark, SF).items()}
+    t["gate_census"] = spark.createDataFrame([("placebo", 3), ("qualifiers_only", 2), ("route_name", 9)], "reason string, n long")
+    t["contested_aliases"] = spark.createDataFrame([("vetoed",), ("vetoed",), ("dominance:a",)], "resolution string")
+    t["condition_denoised"] = spark.createDataFrame([("healthy",), ("healthy",), ("generic",)], "reason string")
+    t["ingest_failures"] = spark.createDataFrame([("m", "e")], "member string, error string")
+    found = analytics.funnel(t).collect()
+    got = {r.key: r.value for r in found}
+    assert len(got) == len(found)
+    want = {"gate:placebo": 3, "gate:qualifiers_only": 2, "interventions_gated": 5, "contested_aliases": 2, "alias_dominance": 1, "denoise:healthy": 2, "denoise:generic": 1, "parse_failures": 1}
+    assert {k: got[k] for k in want} == want and "gate:route_name" not in got
+    assert got["role:subject"] + got["role:comparator"] == got["decided"] and 0 < got["in_scope_assets_with_moa"] <= got["in_scope_assets"]
