@@ -26,13 +26,38 @@ def _figures(parts: dict[str, DataFrame], wanted: Sequence[str] | None) -> DataF
     return reduce(DataFrame.union, chosen)
 
 
+def _phase(c: str, null: str = views.UNKNOWN) -> Column:
+    """A phase's name from its rank."""
+    return F.coalesce(reduce(lambda w, kv: w.when(F.col(c) == kv[1], F.lit(kv[0])), views.PHASES.items(), F.when(F.lit(False), F.lit(""))), F.lit(null))
+
+
+def _cells(rows: DataFrame, label: str, top: DataFrame) -> DataFrame:
+    """Trials by (label of top, phase); label: the label and the phase."""
+    found = rows.join(F.broadcast(top), label).select(F.concat_ws(" / ", F.col(label), _phase("phase_rank")).alias("label"), "nct_id").distinct()
+    return found.groupBy("label").agg(F.count("*").alias("value"))
+
+
+def _mentioned(mentions: DataFrame) -> DataFrame:
+    """The twelve terms in most trials; mentions: nct_id, kind, term_id."""
+    return chart(mentions.select("nct_id", F.concat_ws(": ", "kind", "term_id").alias("term")).distinct(), "term", top=12)
+
+
+def _years(rows: DataFrame) -> DataFrame:
+    return chart(rows.select("nct_id", F.year("start_date_parsed").alias("year")).distinct(), "year")
+
+
 def condition_landscape(t: Tables, condition: str, figures: Sequence[str] | None = None) -> DataFrame:
-    """figure, label, value: headline, phases, sponsors, mechanisms (distinct assets by best tier), populations, start years."""
+    """figure, label, value: headline, phases (ever and active), sponsors (trials and active ones), mechanisms (distinct assets by best tier),
+    populations, start years (all and drug trials), leading sponsors by phase.  figures: those wanted, None for all."""
     here = F.col("condition_key") == condition
     programs = views.programs(t).where(here)
     best = views.moa_best(t).select("asset_id", "provenance").distinct()
     trials = views.trials(t).join(views.trial_conditions_primary(t).where(here).select("nct_id"), "nct_id")
     head = programs.agg(F.count("*").alias("n_programs"), F.count_if(F.col("n_active_trials") > 0).alias("n_active_programs"))
+    more = programs.agg(F.count_distinct("lead_company_of_most_advanced").alias("lead_companies"), F.coalesce(F.sum("n_trials"), F.lit(0)).alias("program_trial_rows"))
+    sponsors = views.sponsor_condition(t).where(here)
+    drug = trials.where("study_type = 'INTERVENTIONAL' AND is_drug_trial")
+    top = sponsors.groupBy("company_id").agg(F.sum("n_trials").alias("n")).orderBy(F.desc("n"), "company_id").limit(10).select(F.col("company_id").alias("lead_company_id"))
     return _figures({
         "headline": head.unpivot([], ["n_programs", "n_active_programs"], "label", "value"),
         "phases": chart(programs, "max_phase_ever"),
@@ -40,6 +65,11 @@ def condition_landscape(t: Tables, condition: str, figures: Sequence[str] | None
         "mechanisms": programs.select("asset_id").join(best, "asset_id", "left").groupBy(F.coalesce("provenance", F.lit("none")).alias("label")).agg(F.count_distinct("asset_id").alias("value")),
         "populations": chart(views.population_landscape(t).where(here), "term_id", F.sum("n_trials"), top=12),
         "start_years": chart(trials.withColumn("year", F.year("start_date_parsed")), "year"),
+        "more": more.unpivot([], ["lead_companies", "program_trial_rows"], "label", "value"),
+        "active_phases": chart(programs.withColumn("p", _phase("max_phase_active", "no active trial")), "p"),
+        "active_sponsors": chart(sponsors, "company_name", F.sum("n_active_trials"), top=10),
+        "drug_start_years": _years(drug),
+        "sponsor_phases": _cells(drug, "lead_company_id", top),
     }, figures)
 
 
@@ -57,28 +87,51 @@ def sponsor_phase_matrix(t: Tables, condition: str | None = None) -> DataFrame:
 
 
 def asset_landscape(t: Tables, asset: str, figures: Sequence[str] | None = None) -> DataFrame:
-    """figure, label, value: trials by condition and role, sponsors, mechanisms, partners."""
+    """figure, label, value: trials by condition and role, sponsors, mechanisms, partners, headline, populations, start years, leading
+    conditions by phase.  figures: those wanted, None for all."""
     here = F.col("asset_id") == asset
+    programs = views.programs(t).where(here)
+    head = programs.agg(F.count("*").alias("conditions"), F.count_if(F.col("max_phase_active").isNotNull()).alias("active_conditions"), F.max("max_phase_ever").alias("max_phase_ever"), F.max("max_phase_active").alias("max_phase_active"))
+    head = head.select([F.col(c).cast("double").alias(c) for c in head.columns])
+    used = t["trial_assets"].where(here)
+    own = used.select("nct_id").distinct()
+    developed = used.where(F.col("role").isin(views.DEVELOPING)).select("nct_id").distinct().join(views.trials(t).where("study_type = 'INTERVENTIONAL'"), "nct_id")
+    top = programs.orderBy(F.desc("n_trials"), "condition_key").limit(8).select("condition_key")
     parts = {
         "conditions": chart(views.programs(t).where(here), "condition_key", F.sum("n_trials")),
         "roles": chart(t["trial_assets"].where(here), "role", F.count_distinct("nct_id")),
         "mechanisms": chart(views.moa(t).where(here), "moa_label"),
         "sponsors": chart(views.asset_sponsors(t).where(here), "company_name", F.sum("n_trials"), top=10),
         "partners": chart(views.combo_partners(t).where(here), "partner_asset_id", F.count_distinct("nct_id"), top=10),
+        "headline": head.unpivot([], head.columns, "label", "value"),
+        "populations": _mentioned(t["population_mentions"].join(own, "nct_id")),
+        "start_years": _years(views.trials(t).join(own, "nct_id")),
+        "condition_phases": _cells(developed.join(views.surface(t), "nct_id"), "condition_key", top),
     }
-    return _figures(parts, figures or ["conditions", "roles", "mechanisms"])
+    return _figures(parts, figures)
 
 
 def company_landscape(t: Tables, company: str, figures: Sequence[str] | None = None) -> DataFrame:
-    """figure, label, value: trials by area, phase, status, condition."""
+    """figure, label, value: trials by area, phase, status, condition, headline, active trials by area, phases and start years of drug
+    trials, leading conditions by phase.  figures: those wanted, None for all."""
     own = views.trials(t).where(F.col("lead_company_id") == company)
+    drug = own.where("study_type = 'INTERVENTIONAL' AND is_drug_trial")
+    led = views.sponsor_condition(t).where(F.col("company_id") == company)
+    names = {"drug_trials": "n_trials", "active_trials": "n_active_trials", "phase3_plus": "n_phase3_plus"}
+    head = led.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in names.items()], F.count_distinct("condition_key").alias("conditions"))
+    top = led.groupBy("condition_key").agg(F.sum("n_trials").alias("n")).orderBy(F.desc("n"), "condition_key").limit(8).select("condition_key")
     parts = {
         "areas": chart(views.sponsor_activity(t).where(F.col("company_id") == company), "area", F.sum("n_trials")),
         "phases": chart(own, "phase_norm"),
         "statuses": chart(own, "overall_status"),
         "conditions": chart(views.sponsor_condition(t).where(F.col("company_id") == company), "condition_key", F.sum("n_trials"), top=10),
+        "headline": head.unpivot([], head.columns, "label", "value"),
+        "active_areas": chart(views.sponsor_activity(t).where(F.col("company_id") == company), "area", F.sum("n_active_trials"), top=10),
+        "drug_phases": chart(drug, "phase_norm"),
+        "drug_start_years": _years(drug),
+        "condition_phases": _cells(drug.join(views.surface(t), "nct_id"), "condition_key", top),
     }
-    return _figures(parts, figures or ["areas", "phases", "statuses"])
+    return _figures(parts, figures)
 
 
 def funnel_steps(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from cohortlens.operators import facets, metrics, ranking, resolution
 
 from . import analytics, resolve, serving, views
 from .analogue import registry
-from .catalog import day, joined, query
+from .catalog import PARTNERS_SQL, day, joined, query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +99,7 @@ SELECT 'conditions' AS figure, condition_key AS label, CAST(count(DISTINCT nct_i
 UNION ALL SELECT 'roles', role, count(DISTINCT nct_id) FROM uses WHERE asset_id = 'brand3x1' GROUP BY ALL
 UNION ALL SELECT 'mechanisms', moa_label, count(*) FROM moa WHERE asset_id = 'brand3x1' GROUP BY ALL""")
 def asset_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.asset_landscape(registry(spark, sf_dir), "brand3x1")
+    return analytics.asset_landscape(registry(spark, sf_dir), "brand3x1", figures=["conditions", "roles", "mechanisms"])
 
 
 @query("company_landscape", """
@@ -108,6 +108,67 @@ FROM sponsored s JOIN cond c ON c.nct_id = s.nct_id LEFT JOIN area a ON a.condit
 UNION ALL SELECT 'phases', coalesce(phase_norm, 'unknown'), count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL
 UNION ALL SELECT 'statuses', overall_status, count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL""")
 def company_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.company_landscape(registry(spark, sf_dir), "c3", figures=["areas", "phases", "statuses"])
+
+
+PHASE_NAME = "CASE {} WHEN 0.5 THEN 'EARLY_PHASE1' WHEN 1 THEN 'PHASE1' WHEN 2 THEN 'PHASE2' WHEN 3 THEN 'PHASE3' WHEN 4 THEN 'PHASE4' ELSE '{}' END"
+
+
+@query("condition_landscape_all", """
+, p AS (SELECT asset_id, max(phase_rank) AS m, max(phase_rank) FILTER (program_exists) AS active, count(DISTINCT nct_id) AS n, list(lead_company_id ORDER BY phase_rank DESC NULLS LAST, updated DESC NULLS LAST, nct_id)[1] AS lead FROM dev WHERE condition_key = 'blue bolt' GROUP BY asset_id),
+b AS (SELECT m.asset_id, m.provenance FROM moa m JOIN (SELECT asset_id, min(tier) AS tier FROM moa GROUP BY asset_id) x ON x.asset_id = m.asset_id AND x.tier = m.tier),
+own AS (SELECT s.* FROM spine s JOIN cond c ON c.nct_id = s.nct_id WHERE c.condition_key = 'blue bolt'), drug AS (SELECT DISTINCT * FROM own WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial),
+led AS (SELECT lead_company_id AS company_id, lead_company_name AS name, count(*) AS n, count(*) FILTER (program_exists) AS n_active FROM drug WHERE lead_company_id IN (SELECT lead_company_id FROM sponsored) GROUP BY ALL)
+SELECT 'headline' AS figure, 'n_programs' AS label, CAST(count(*) AS DOUBLE) AS value FROM p
+UNION ALL SELECT 'headline', 'n_active_programs', count(*) FROM (SELECT asset_id FROM dev WHERE condition_key = 'blue bolt' AND program_exists GROUP BY asset_id)
+UNION ALL SELECT 'phases', coalesce(CAST(m AS VARCHAR), 'unknown'), count(*) FROM p GROUP BY ALL
+UNION ALL SELECT 'mechanisms', coalesce(b.provenance, 'none'), count(DISTINCT p.asset_id) FROM p LEFT JOIN b ON b.asset_id = p.asset_id GROUP BY ALL
+UNION ALL SELECT 'start_years', CAST(year(started) AS VARCHAR), count(*) FROM own GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'sponsors', name, sum(n) FROM led GROUP BY name ORDER BY sum(n) DESC, name LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'populations', term_id, sum(n) FROM (SELECT m.kind, m.term_id, count(DISTINCT m.nct_id) AS n FROM mention m JOIN drug d ON d.nct_id = m.nct_id GROUP BY ALL) GROUP BY term_id ORDER BY sum(n) DESC, term_id LIMIT 12)
+UNION ALL SELECT 'more', 'lead_companies', count(DISTINCT lead) FROM p UNION ALL SELECT 'more', 'program_trial_rows', coalesce(sum(n), 0) FROM p
+UNION ALL SELECT 'active_phases', """ + PHASE_NAME.format("active", "no active trial") + """, count(*) FROM p GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'active_sponsors', name, sum(n_active) FROM led GROUP BY name ORDER BY sum(n_active) DESC, name LIMIT 10)
+UNION ALL SELECT 'drug_start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(DISTINCT nct_id) FROM drug GROUP BY ALL
+UNION ALL SELECT 'sponsor_phases', lead_company_id || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM drug
+  WHERE lead_company_id IN (SELECT company_id FROM led GROUP BY company_id ORDER BY sum(n) DESC, company_id LIMIT 10) GROUP BY ALL""")
+def condition_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.condition_landscape(registry(spark, sf_dir), "blue bolt")
+
+
+@query("asset_landscape_all", PARTNERS_SQL + """
+, own AS (SELECT * FROM spine WHERE nct_id IN (SELECT nct_id FROM uses WHERE asset_id = 'brand3x1')), d AS (SELECT * FROM dev WHERE asset_id = 'brand3x1'),
+p AS (SELECT condition_key, max(phase_rank) AS m, max(phase_rank) FILTER (program_exists) AS active, count(DISTINCT nct_id) AS n FROM d GROUP BY ALL)
+SELECT 'conditions' AS figure, condition_key AS label, CAST(count(DISTINCT nct_id) AS DOUBLE) AS value FROM d GROUP BY ALL
+UNION ALL SELECT 'roles', role, count(DISTINCT nct_id) FROM uses WHERE asset_id = 'brand3x1' GROUP BY ALL
+UNION ALL SELECT 'mechanisms', moa_label, count(*) FROM moa WHERE asset_id = 'brand3x1' GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'sponsors', s.lead_company_name, count(DISTINCT u.nct_id) FROM uses u JOIN spine s ON s.nct_id = u.nct_id WHERE u.asset_id = 'brand3x1' AND u.role <> 'comparator' AND s.lead_company_name IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'partners', partner_asset_id, count(DISTINCT nct_id) FROM partner WHERE asset_id = 'brand3x1' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL SELECT 'headline', 'conditions', count(*) FROM p UNION ALL SELECT 'headline', 'active_conditions', count(active) FROM p
+UNION ALL SELECT 'headline', 'max_phase_ever', max(m) FROM p HAVING max(m) IS NOT NULL UNION ALL SELECT 'headline', 'max_phase_active', max(active) FROM p HAVING max(active) IS NOT NULL
+UNION ALL SELECT * FROM (SELECT 'populations', kind || ': ' || term_id, count(DISTINCT nct_id) FROM mention WHERE nct_id IN (SELECT nct_id FROM own) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12)
+UNION ALL SELECT 'start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(*) FROM own GROUP BY ALL
+UNION ALL SELECT 'condition_phases', condition_key || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM d
+  WHERE condition_key IN (SELECT condition_key FROM p ORDER BY n DESC, condition_key LIMIT 8) GROUP BY ALL""")
+def asset_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.asset_landscape(registry(spark, sf_dir), "brand3x1")
+
+
+@query("company_landscape_all", """
+, own AS (SELECT s.*, c.condition_key FROM sponsored s JOIN cond c ON c.nct_id = s.nct_id WHERE s.lead_company_id = 'c3'), drug AS (SELECT * FROM spine WHERE lead_company_id = 'c3' AND study_type = 'INTERVENTIONAL' AND is_drug_trial),
+per AS (SELECT condition_key, count(DISTINCT nct_id) AS n, count(DISTINCT nct_id) FILTER (program_exists) AS n_active, count(DISTINCT nct_id) FILTER (phase_rank >= 3) AS n3 FROM own GROUP BY ALL)
+SELECT 'areas' AS figure, coalesce(a.area, 'Unclassified') AS label, CAST(sum(n) AS DOUBLE) AS value
+FROM (SELECT lead_agency_class, coalesce(a.area, 'Unclassified') AS area, count(DISTINCT nct_id) AS n FROM own o LEFT JOIN area a ON a.condition_key = o.condition_key GROUP BY ALL) a GROUP BY ALL
+UNION ALL SELECT 'phases', coalesce(phase_norm, 'unknown'), count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL
+UNION ALL SELECT 'statuses', overall_status, count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'conditions', condition_key, n FROM per ORDER BY n DESC, condition_key LIMIT 10)
+UNION ALL SELECT 'headline', 'drug_trials', sum(n) FROM per UNION ALL SELECT 'headline', 'active_trials', sum(n_active) FROM per UNION ALL SELECT 'headline', 'phase3_plus', sum(n3) FROM per UNION ALL SELECT 'headline', 'conditions', count(*) FROM per
+UNION ALL SELECT * FROM (SELECT 'active_areas', coalesce(a.area, 'Unclassified'), count(DISTINCT nct_id) FILTER (program_exists) FROM own o LEFT JOIN area a ON a.condition_key = o.condition_key GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL SELECT 'drug_phases', coalesce(phase_norm, 'unknown'), count(*) FROM drug GROUP BY ALL
+UNION ALL SELECT 'drug_start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(*) FROM drug GROUP BY ALL
+UNION ALL SELECT 'condition_phases', condition_key || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM own
+  WHERE condition_key IN (SELECT condition_key FROM per ORDER BY n DESC, condition_key LIMIT 8) GROUP BY ALL""")
+def company_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.company_landscape(registry(spark, sf_dir), "c3")
 
 

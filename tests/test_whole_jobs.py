@@ -57,3 +57,11 @@ def test_funnel_has_the_censuses(spark):
     want = {"gate:placebo": 3, "gate:qualifiers_only": 2, "interventions_gated": 5, "contested_aliases": 2, "alias_dominance": 1, "denoise:healthy": 2, "denoise:generic": 1, "parse_failures": 1}
     assert {k: got[k] for k in want} == want and "gate:route_name" not in got
     assert got["role:subject"] + got["role:comparator"] == got["decided"] and 0 < got["in_scope_assets_with_moa"] <= got["in_scope_assets"]
+
+
+def test_landscapes_give_all_figures_by_default(spark):
+    t = registry(spark, SF)
+    figures = lambda df: {r.figure for r in df.select("figure").distinct().collect()}
+    assert figures(analytics.condition_landscape(t, "blue bolt")) == {"headline", "phases", "sponsors", "mechanisms", "populations", "start_years", "more", "active_phases", "active_sponsors", "drug_start_years", "sponsor_phases"}
+    assert figures(analytics.asset_landscape(t, "brand3x1")) == {"conditions", "roles", "mechanisms", "sponsors", "partners", "headline", "populations", "start_years", "condition_phases"}
+    assert figures(analytics.company_landscape(t, "c3")) == {"areas", "phases", "statuses", "conditions", "headline", "active_areas", "drug_phases", "drug_start_years", "condition_phases"}
