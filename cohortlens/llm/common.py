@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,11 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if none is set (tests)."""
+    """The folder that driver and executors share.  Only a local master, whose executors are the driver, may go without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cohortlens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,17 +62,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-#: Bits of the filter that `maybe_among` broadcasts: 16 MB at most, whatever the input's size.
-FILTER_BITS = 1 << 27
+#: Ids that a broadcast filter is made of, at most; it has 32 bits for each, so it is 16 MB (two million rows) at most.
+FILTER_IDS = 1 << 21
 
 
-def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df with `maybe`: false only if key is surely not among ids (one column).
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key is among ids (one column), and of few others; rows aren't shuffled for up to FILTER_IDS ids.
 
-    ids set bits of a filter of fixed size, which is broadcast as its words that aren't 0 (FILTER_BITS / 64 rows at most); so
-    wide rows needn't be shuffled to learn that they have no partner.  A full filter says true more often, never false
-    wrongly: an exact join has to follow where exactness matters."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ids set bits of a filter, which is broadcast as its words that aren't 0.  For more ids the
+    filter would not be small, and a semi-join is exact.  Callers join on the key afterwards."""
+    told = maybe_among(df, key, ids)
+    return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi") if told is None else told.where("maybe").select(*df.columns)
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame | None:
+    """df with `maybe`: false only if key is surely not among ids; None if there are more than FILTER_IDS of them."""
+    n = ids.count()
+    if n > FILTER_IDS:
+        return None
+    bits = 1 << max(10, (32 * n).bit_length())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     name = ids.columns[0]
     set_bits = ids.where(F.col(name).isNotNull()).select(bit(F.col(name)).alias("bit"))
     words = set_bits.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("_bits"))
@@ -77,6 +90,21 @@ def maybe_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return flagged.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
 
 
+#: Bytes of text that a worker handles at once.
+BATCH_BYTES = 8 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes, a row at least: rows differ in length by orders of magnitude."""
+    if batch.nbytes <= most or batch.num_rows < 2:
+        if batch.num_rows:
+            yield batch
+        return
+    half = batch.num_rows // 2
+    yield from by_bytes(batch.slice(0, half), most)
+    yield from by_bytes(batch.slice(half), most)
+
+
 #: What this worker remembers between tasks, by name, and how to forget it.
 _MEMORIES: dict[str, Callable[[], None]] = {}
 

@@ -3,29 +3,32 @@
 A document's set holds its word shingles as 64-bit hashes.  Documents with equal sets are one
 representative from then on, so groups of copies weigh as much as one text.
 
-Chosen path: a set is embedded as SIZE minwise tokens.  A tree starts with all sets in its root.  A node
+Chosen path: a set is embedded as SIZE minwise tokens (16 bits of each).  A tree starts with all sets in its root.  A node
 selects tokens (one, and with probability 1/4 a second; the root two) by its own hash; a set goes to the child named by
 the token's value.  Sets with similarity 0.8 or more share a child with probability 0.8 or more, so expected
-1 of them goes on, and nodes of unlike sets fall apart.  A node of at most SMALL sets is
-a leaf; others branch until they stop shrinking or are DEPTH deep, and then are cut into blocks of SMALL.  TREES independent
-trees give the recall: a tree misses a pair at 0.8 with probability under 0.3 at the depths that are reached, all
-of them with under 0.3 ** 8.
-
-Leaves are compared exhaustively by sketches (4 bits of every minwise token).  Copies form large groups, of which
-not all pairs may come out, so links are found in two steps that lose no component:
-
-1. each leaf gives a maximum spanning forest of its likely pairs (estimate at least the limit minus 3.5 standard deviations); pairs
-   are confirmed on full sets.  Confirmed pairs give groups; all likely ones, and nodes cut into blocks as wholes, give families,
-   and every link is within a family;
-2. in a family of several groups, sets outside its largest group meet all others, in blocks of BLOCK by BLOCK; likely pairs of
-   different groups are confirmed on full sets there and then, and only links come out.
+1 of them goes on, and nodes of unlike sets fall apart.  Sizes are looked at from level START on: a node of one set
+ends there, a node of at most SMALL sets is a leaf, and only rows of larger nodes are branched again, with tokens that
+are picked anew, until a node stops shrinking (it has kept TIGHT of its parent's sets: they are much alike, and branching won't part
+them) or is DEPTH deep.  TREES independent trees give the recall (measured in the tests).
+
+Leaves are compared exhaustively by sketches (4 bits of every minwise token): a pair is likely if its estimate is at least the
+limit minus 4 standard deviations.  A leaf gives a maximum spanning forest of its likely pairs, a large node one of each
+of its blocks of SMALL sets and a link of each set to its first one.  What these connect is a family, and every link that
+a tree has seen is within one.  Families are then compared on full sets:
+
+1. a family of at most FAMILY sets goes to one task as a whole, once, and all its pairs are compared;
+2. in a larger one each set is first compared with its likeliest partner and with the family's hub (the set that most
+   others are likest to); that gives groups.  Sets outside the largest group then meet all others in blocks of at most BLOCK sets and
+   SHINGLES shingles a side; a block counts common shingles exactly through an inverted list, and gives one link for two groups at
+   most.  So rows are copied (sets outside / BLOCK) times, and never pairs.
 
 Every level is written to the shared folder, nothing of the size of the corpus reaches the driver, and a hot node
 is one count and many rows, never one task's group.
 
 Edge cases: null or blank text has an empty set and no links; fewer words than a shingle's width: their sequence is the
 only shingle; rows with the same doc_id are one document (reachable through each of its texts); a null doc_id is not
-linked (component null, kept); repeated rows come out as often as they came in; an empty table gives an empty result.
+linked (component null, kept); repeated rows come out as often as they came in; very long texts are shingled whole, CHUNK characters
+at a time with others, and a long set is one row; an empty table gives an empty result; other columns of docs are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -40,12 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches, frugal, maybe_among, stored
+from .common import among, arrow_batches, by_bytes, frugal, stored
 from .components import components
 
-SIZE, TREES, DEPTH, SMALL, TIGHT = 128, 8, 5, 128, 0.8
-#: Sets on each side of a block of comparisons.
-BLOCK = 256
+SIZE, TREES, START, DEPTH, SMALL, TIGHT = 128, 8, 3, 12, 128, 0.8
+#: Sets and shingles of a family that one task compares as a whole; of each side of a block of a larger one.
+FAMILY, BLOCK, SHINGLES = 256, 1024, 1_000_000
 #: Characters that are shingled at once.
 CHUNK = 250_000
 _U = np.uint64
@@ -102,19 +105,19 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """SIZE minwise tokens of a set that isn't empty."""
+    """SIZE minwise tokens of a set that isn't empty, 16 bits of each."""
     x = (shingles ^ (shingles >> _U(32))).astype(np.uint32)
     low = np.full(SIZE, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         m = (x[at : at + 2048] ^ _SEED) * _ODD
         m ^= m >> np.uint32(15)
         low = np.minimum(low, m.min(axis=1))
-    return low
+    return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """The low 4 bits of each token, two to a byte."""
-    low = (tokens & np.uint32(15)).astype(np.uint8)
+    low = (tokens & np.uint16(15)).astype(np.uint8)
     return low[..., ::2] << 4 | low[..., 1::2]
 
 
@@ -128,26 +131,26 @@ def similarity(equal: np.ndarray) -> np.ndarray:
     return (equal / SIZE - 1 / 16) * (16 / 15)
 
 
-def children(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parent, child, owner) of sets (rows of tokens) one level below nodes."""
-    parts = []
+def children(nodes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child): children, at a level, of sets in nodes one level above; row counts nodes, owner is a row of tokens."""
+    rows, found = [], []
     for k in range(2):
         pick = mix(nodes + np.array([level * 2 + k + 1], _U) * _BASE)
-        go = np.ones(len(nodes), bool) if k == 0 or level == 1 else pick >> _U(62) == 0
-        at = (pick[go] % _U(SIZE)).astype(np.int64)
-        value = tokens[owner[go], at].astype(_U)
-        parts.append((nodes[go], mix(pick[go] ^ mix(value + _U(k))), owner[go]))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+        go = np.flatnonzero(pick >> _U(62) == 0) if k and level > 1 else np.arange(len(nodes))
+        value = tokens[owner[go], (pick[go] % _U(SIZE)).astype(np.int64)].astype(_U)
+        rows.append(go)
+        found.append(mix(pick[go] ^ mix(value + _U(k))))
+    return np.concatenate(rows), np.concatenate(found)
 
 
-def paths(tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parent, child, owner) of all trees at a level, for sets given by their tokens."""
+def paths(tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, owner) of all trees at a level, for sets given by their tokens."""
     n = len(tokens)
-    child, owner = mix(np.repeat(np.arange(1, TREES + 1, dtype=_U), n)), np.tile(np.arange(n), TREES)
-    parent = child
+    node, owner = mix(np.repeat(np.arange(1, TREES + 1, dtype=_U), n)), np.tile(np.arange(n), TREES)
     for k in range(1, level + 1):
-        parent, child, owner = children(child, owner, tokens, k)
-    return parent, child, owner
+        row, node = children(node, owner, tokens, k)
+        owner = owner[row]
+    return node, owner
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
@@ -156,49 +159,58 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, tokens = [], [], []
-            for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], width):
-                n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tokens.append(minwise(s).tobytes() if len(s) else None)
+            for part in by_bytes(batch):
+                for s in shingle_sets([t or "" for t in part.column(1).to_pylist()], width):
+                    n.append(len(s))
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    tokens.append(minwise(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "set_key", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary")
 
 
-def _level(sets: DataFrame, level: int) -> DataFrame:
-    """parent, node, id: where each set is at a level of the trees."""
+def _matrix(packed: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), np.uint16).reshape(-1, SIZE)
+
+
+def _first_nodes(sets: DataFrame) -> DataFrame:
+    """node, id, n_parent: where each set is at level START."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIZE)
-                parent, child, owner = paths(tokens, level)
-                yield pa.RecordBatch.from_arrays([pa.array(parent.view(np.int64)), pa.array(child.view(np.int64)), pa.array(ids[owner])], ["parent", "node", "id"])
+                ids, (node, owner) = batch.column(0).to_numpy(zero_copy_only=False), paths(_matrix(batch.column(1)), START)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[owner]), pa.array(np.full(len(node), 1 << 62))], ["node", "id", "n_parent"])
 
-    return sets.select("id", "tokens").mapInArrow(frugal(run), "parent bigint, node bigint, id bigint")
+    return sets.select("id", "tokens").mapInArrow(frugal(run), "node bigint, id bigint, n_parent bigint")
+
+
+def _next_nodes(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """node, id, n_parent: the children, at a level, of rows (node, id, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node, ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                row, child = children(node.view(_U), np.arange(len(node)), _matrix(batch.column(3)), level)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row]), pa.array(n[row])], ["node", "id", "n_parent"])
+
+    return rows.join(sets.select("id", "tokens"), "id").select("node", "id", "n", "tokens").mapInArrow(frugal(run), "node bigint, id bigint, n_parent bigint")
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """node, id, n (the node's sets), of all nodes where trees end with two sets or more.
-
-    A large node ends where it is, too, if it has kept TIGHT of its parent's sets: those are much alike, and branching
-    won't part them."""
-    found, above = [], None
-    for level in range(1, DEPTH + 1):
-        rows = _level(sets, level)
-        if above is not None:
-            rows = rows.join(above.where("goes_on").select(F.col("node").alias("parent"), F.col("n").alias("n_parent")), "parent")
-        else:
-            rows = rows.withColumn("n_parent", F.lit(1 << 62))
-        rows = stored(rows.select("node", "id", "n_parent"), f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count_distinct("id").alias("n"), F.max("n_parent").alias("n_parent")).where("n > 1")
+    """node, id, n (the node's sets), of all nodes where trees end with two sets or more."""
+    found, rows = [], _first_nodes(sets)
+    for level in range(START, DEPTH + 1):
+        rows = stored(rows, f"level{level}")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("n_parent").alias("n_parent")).where("n > 1")
         goes_on = (F.col("n") > SMALL) & (F.col("n") < TIGHT * F.col("n_parent")) & F.lit(level < DEPTH)
         sizes = stored(sizes.select("node", "n", goes_on.alias("goes_on")), f"sizes{level}")
-        found.append(rows.select("node", "id").join(sizes.where("NOT goes_on").select("node", "n"), "node").distinct())
-        above = sizes
-        if sizes.where("goes_on").isEmpty():
+        found.append(rows.select("node", "id").join(sizes.where("NOT goes_on").select("node", "n"), "node"))
+        more = sizes.where("goes_on").select("node", "n")
+        if more.isEmpty():
             break
+        rows = _next_nodes(rows.select("node", "id").join(more, "node"), sets, level + 1)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -242,16 +254,9 @@ def forest(a: np.ndarray, b: np.ndarray, estimate: np.ndarray) -> list[int]:
     if len(a) == 1:
         return [0]
     root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = root[x]
-        return x
-
     kept = []
     for k in np.lexsort((b, a, -estimate)).tolist():
-        x, y = find(int(a[k])), find(int(b[k]))
+        x, y = _find(root, int(a[k])), _find(root, int(b[k]))
         if x != y:
             root[x] = y
             kept.append(k)
@@ -259,69 +264,76 @@ def forest(a: np.ndarray, b: np.ndarray, estimate: np.ndarray) -> list[int]:
 
 
 def _candidates(rows: DataFrame, limit: float) -> DataFrame:
-    """Distinct likely pairs a, b of rows (node, block, id, sketch): a spanning forest of each block."""
+    """Distinct likely pairs a, b, likeness of rows (node, block, id, sketch): a spanning forest of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
         def solve(table: pa.Table) -> pa.RecordBatch:
             node = mix(table.column("node").to_numpy().view(_U)) + table.column("block").to_numpy().astype(_U)
             ids = table.column("id").to_numpy()
             packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE // 2)
-            out: tuple[list, list] = ([], [])
-            for a, b, e in likely_pairs(node, ids, packed, limit):
-                keep = forest(a, b, e)
-                out[0].append(a[keep])
-                out[1].append(b[keep])
-            pairs = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in out], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-            change = np.flatnonzero((np.diff(node) != 0) | (np.diff(block) != 0)) + 1
-            if held and (held[-1].column("node")[-1].as_py(), held[-1].column("block")[-1].as_py()) != (int(node[0]), int(block[0])):
-                change = np.concatenate([[0], change])
-            if len(change):
-                last = int(change[-1])  # rows from here on may go on in the next batch
-                whole = pa.concat_tables([*held, table.slice(0, last)])
-                held = [table.slice(last)]
-                if whole.num_rows:
-                    yield solve(whole)
-            else:
-                held.append(table)
-        if held:
-            yield solve(pa.concat_tables(held))
+            out: tuple[list, list, list] = ([], [], [])
+            for pairs in likely_pairs(node, ids, packed, limit):
+                keep = forest(*pairs)
+                for all_kept, one in zip(out, pairs, strict=True):
+                    all_kept.append(one[keep])
+            a, b, e = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+            once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]
+            return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(e[once].astype(np.float32))], ["a", "b", "likeness"])
+
+        for table in runs(batches, ["node", "block"]):
+            yield solve(table)
 
     sorted_rows = rows.repartition("node", "block").sortWithinPartitions("node", "block")
-    return sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint").distinct()
+    pairs = sorted_rows.mapInArrow(frugal(run), "a bigint, b bigint, likeness float")
+    return pairs.where("a <> b").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of sorted batches as tables that hold all rows of their keys (whole numbers, not null)."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.zeros(len(table), bool)
+        new[0] = bool(held) and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if new.any():
+            last = int(np.flatnonzero(new)[-1])  # rows from here on may go on in the next batch
+            whole = pa.concat_tables([*held, table.slice(0, last)])
+            held = [table.slice(last)]
+            if whole.num_rows:
+                yield whole
+        else:
+            held.append(table)
+    if held:
+        yield pa.concat_tables(held)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are alike enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    left, right = full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), full.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sure = [alike(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (sorted, binary) of the documents with these ids, and maybe of some others.  Texts aren't shuffled."""
+    """id, shingles (sorted, binary) of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
+            for part in by_bytes(batch):
+                made = [s.tobytes() for s in shingle_sets([t or "" for t in part.column(1).to_pylist()], width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
-    wanted = maybe_among(docs.select("doc_id", "text"), "doc_id", ids.select("id")).where("maybe").select("doc_id", "text")
-    return wanted.mapInArrow(frugal(run), "id bigint, shingles binary")
+    return among(docs.select("doc_id", "text"), "doc_id", ids.select("id")).mapInArrow(frugal(run), "id bigint, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -330,7 +342,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     described = stored(_described(docs, width), "described")
     linkable = described.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     # equal sets have equal tokens, so any row's will do
-    sets = stored(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
+    sets = linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    sets = stored(sets, "sets")
     links = _links(docs, sets, width, percent)
     labels = components(links)
     known = sets.where("copies > 1").select("set_key", "id")
@@ -343,93 +356,117 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def _links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: confirmed links between ids of different sets, that connect all that are linked."""
     j = percent / 100
-    limit = j - 3.5 * ((j + (1 - j) / 16) * (1 - j - (1 - j) / 16) / SIZE) ** 0.5 * 16 / 15
+    limit = j - 4 * ((j + (1 - j) / 16) * (1 - j - (1 - j) / 16) / SIZE) ** 0.5 * 16 / 15
     nodes = stored(leaves(sets), "leaves")
-    sketches = _sketches(sets)
     # which sets of a large node share a block differs from node to node
     block = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / SMALL)).cast("int")
     rows = nodes.withColumn("block", F.when(F.col("n") > SMALL, block).otherwise(F.lit(0)))
-    first = stored(_candidates(rows.join(sketches, "id").select("node", "block", "id", "sketch"), limit), "forests")
+    pairs = stored(_candidates(rows.join(_sketches(sets), "id").select("node", "block", "id", "sketch"), limit), "forests")
     large = nodes.where(F.col("n") > SMALL)
     heads = large.groupBy("node").agg(F.min("id").alias("b"))
     whole = large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    families = components(first.union(whole)).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
-    full = stored(_full_sets(docs, families, width), "full")
-    sure = stored(_confirm(first, full, percent), "links1")
-    groups = components(sure).select(F.col("vertex").alias("id"), F.col("component").alias("grp"))
-    members = stored(families.join(groups, "id", "left").select("id", "family", F.coalesce("grp", "id").alias("grp")), "members")
-    # of each family the largest group is told from the rest, whose sets look for links
-    counts = members.groupBy("family", "grp").agg(F.count("*").alias("m"))
-    largest = counts.groupBy("family").agg(F.max(F.struct("m", "grp")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
-    rows = members.join(largest.select("family", F.col("top.grp").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("rest")), "family")
-    asks, asked = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
-    place = lambda ask, at, asking: F.struct(ask.alias("ask"), at.alias("at"), F.lit(asking).alias("asking"))
-    stays = F.transform(F.sequence(F.lit(0), asks - 1), lambda k: place(k, mine(asked), False))
-    goes = F.transform(F.sequence(F.lit(0), asked - 1), lambda k: place(mine(asks), k, True))
-    rows = rows.select("id", "family", "grp", F.inline(F.when(F.col("grp") == F.col("main"), stays).otherwise(F.concat(stays, goes))))
-    rows = stored(rows, "blocks")
-    # sketches go first, so that full sets travel only for sets with a likely pair
-    touched = stored(_touched(rows.join(sketches, "id"), limit), "touched")
-    return sure.union(_across(rows.join(touched, "id", "left_semi").join(sketches, "id").join(full, "id"), limit, percent))
-
-
-def _near(q: pd.DataFrame, t: pd.DataFrame, limit: float) -> Iterator[tuple[int, list[int]]]:
-    """For each asking set's place, the places of likely ones of other groups."""
-    low = [unpacked(np.frombuffer(b"".join(x.sketch), np.uint8).reshape(-1, SIZE // 2)) for x in (q, t)]
-    groups = q.grp.to_numpy(), t.grp.to_numpy()
-    for i in range(len(q)):
-        near = similarity((low[1] == low[0][i]).sum(axis=1, dtype=np.int16)) >= limit
-        found = np.flatnonzero(near & (groups[1] != groups[0][i]))
-        if len(found):
-            yield i, found.tolist()
-
-
-def _touched(rows: DataFrame, limit: float) -> DataFrame:
-    """id of the sets that have a likely pair in another group.  rows: id, family, grp, ask, at, asking, sketch."""
-
-    def ids(block: pd.DataFrame) -> pd.DataFrame:
-        q, t = block[block.asking], block[~block.asking]
-        found: set[int] = set()
-        if len(q) and len(t):
-            own, other = q.id.to_numpy(), t.id.to_numpy()
-            for i, js in _near(q, t, limit):
-                found.add(int(own[i]))
-                found.update(other[js].tolist())
-        return pd.DataFrame({"id": pd.Series(sorted(found), dtype="int64")})
+    families = components(pairs.select("a", "b").union(whole)).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
+    sizes = sets.groupBy("id").agg(F.sum("size").alias("size"))  # texts that share an id are one member
+    members = stored(families.join(sizes, "id"), "members")
+    totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    big = stored(totals.where((F.col("n") > FAMILY) | (F.col("shingles") > SHINGLES)).select("family"), "large")
+    small = members.join(big, "family", "left_anti")
+    links = stored(_within(small.join(_full_sets(docs, small, width), "id"), percent), "links")
+    if big.isEmpty():
+        return links
+    members = stored(members.join(big, "family"), "members")
+    full = stored(_full_sets(docs, members, width).join(members.select("id"), "id", "left_semi"), "full")
+    sure = stored(_confirm(_likeliest(pairs, members), full, percent), "links")
+    return links.union(sure).union(_across(_blocks(members, components(sure)).join(full, "id"), percent))
+
+
+def _within(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what is linked in each family of rows (family, id, shingles)."""
 
-    return rows.select("id", "family", "grp", "ask", "at", "asking", "sketch").groupBy("family", "ask", "at").applyInPandas(ids, "id bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["family"]):
+            family, ids = table.column("family").to_numpy(), table.column("id").to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("shingles")]
+            links = []
+            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(family)) + 1):
+                root: dict[int, int] = {}
+                for k, i in enumerate(at.tolist()):
+                    for h in at[:k].tolist():
+                        if _find(root, ids[h]) != _find(root, ids[i]) and alike(sets[h], sets[i], percent):
+                            root[_find(root, ids[h])] = _find(root, ids[i])
+                            links.append((ids[h], ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    dealt = rows.select("family", "id", "shingles").repartition("family").sortWithinPartitions("family")
+    return dealt.mapInArrow(frugal(run), "a bigint, b bigint")
+
+
+def _find(root: dict[int, int], x: int) -> int:
+    while (up := root.setdefault(x, x)) != x:
+        root[x] = root[up]
+        x = root[x]
+    return x
+
+
+def _likeliest(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: each member of a large family with the one it is likest to, and with the family's hub."""
+    both = pairs.select("a", "b", "likeness").union(pairs.select("b", "a", "likeness"))
+    best = both.join(members.select(F.col("id").alias("a"), "family"), "a").groupBy("a", "family").agg(F.max(F.struct("likeness", (-F.col("b")).alias("b"))).alias("top")).select("a", (-F.col("top.b")).alias("b"), "family")
+    hubs = best.groupBy("family", "b").count().groupBy("family").agg(F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("top")).select("family", (-F.col("top.b")).alias("b"))
+    to_hub = members.select(F.col("id").alias("a"), "family").join(hubs, "family").where("a <> b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def _blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """id, family, grp, ask, at, asking: where the sets outside a family's largest group (asking) meet all its others."""
+    rows = members.join(groups.select(F.col("vertex").alias("id"), F.col("component").alias("grp")), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    rows = stored(rows.select("id", "family", "size", "grp"), "members")
+    counts = rows.groupBy("family", "grp").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    totals = counts.groupBy("family").agg(F.max(F.struct("m", "grp", "size")).alias("top"), F.sum("m").alias("n"), F.sum("size").alias("size")).where("n > top.m")
+    sides = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / SHINGLES)).cast("int")
+    totals = totals.select("family", F.col("top.grp").alias("main"), sides(F.col("n") - F.col("top.m"), F.col("size") - F.col("top.size")).alias("asks"), sides(F.col("n"), F.col("size")).alias("asked"))
+    rows = rows.select("id", "family", "grp").join(totals, "family")
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    place = lambda ask, at, asking: F.struct(ask.alias("ask"), at.alias("at"), F.lit(asking).alias("asking"))
+    stays = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda k: place(k, mine("asked"), False))
+    goes = F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda k: place(mine("asks"), k, True))
+    return rows.select("id", "family", "grp", F.inline(F.when(F.col("grp") == F.col("main"), stays).otherwise(F.concat(stays, goes))))
 
 
-def _across(rows: DataFrame, limit: float, percent: int) -> DataFrame:
-    """a, b: confirmed links between asking and other sets of different groups, block by block.
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between asking and other sets of different groups, one for two groups of a block.
 
-    rows: id, family, grp, ask, at, asking, sketch, shingles."""
+    rows: id, family, grp, ask, at, asking, shingles."""
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         q, t = block[block.asking], block[~block.asking]
         if len(q) and len(t):
             root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := root.setdefault(x, x)) != x:
-                    root[x] = root[up]
-                    x = root[x]
-                return x
-
-            sets = [[np.frombuffer(s, _U) for s in x.shingles] for x in (q, t)]
-            ids, groups = (q.id.to_numpy(), t.id.to_numpy()), (q.grp.to_numpy(), t.grp.to_numpy())
-            for i, js in _near(q, t, limit):
-                for j in js:
-                    g, h = find(int(groups[0][i])), find(int(groups[1][j]))
-                    if g != h and alike(sets[0][i], sets[1][j], percent):
+            sets = [np.frombuffer(s, _U) for s in t.shingles]
+            sizes = np.array([len(s) for s in sets])
+            # who has a shingle: owners[starts[k]:starts[k + 1]] for the k-th of the sorted shingles
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(every, kind="stable")
+            shingles, starts = np.unique(every[order], return_index=True)
+            owners, starts = owner[order], np.append(starts, len(every))
+            ids, groups = t.id.to_numpy(), t.grp.to_numpy()
+            for a, group, blob in zip(q.id.tolist(), q.grp.tolist(), q.shingles, strict=True):
+                own = np.frombuffer(blob, _U)
+                at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+                at = at[shingles[at] == own]
+                width = starts[at + 1] - starts[at]
+                inside = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+                common = np.bincount(owners[np.repeat(starts[at], width) + inside], minlength=len(sets))
+                near = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (groups != group))
+                for k in near.tolist():
+                    g, h = _find(root, group), _find(root, int(groups[k]))
+                    if g != h:
                         root[g] = h
-                        found.append((int(ids[0][i]), int(ids[1][j])))
+                        found.append((a, int(ids[k])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    wanted = rows.select("id", "family", "grp", "ask", "at", "asking", "sketch", "shingles")
-    return wanted.groupBy("family", "ask", "at").applyInPandas(links, "a bigint, b bigint")
+    return rows.select("id", "family", "grp", "ask", "at", "asking", "shingles").groupBy("family", "ask", "at").applyInPandas(links, "a bigint, b bigint")
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -443,8 +480,7 @@ def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 def _sketches(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIZE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sketch(tokens)], pa.binary())], ["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sketch(_matrix(batch.column(1)))], pa.binary())], ["id", "sketch"])
 
     return sets.select("id", "tokens").mapInArrow(frugal(run), "id bigint, sketch binary")
 
