@@ -199,14 +199,14 @@ def _next_nodes(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """node, id, n (the node's sets), of all nodes where trees end with two sets or more."""
+    """node, id, n (the node's sets), head (the least of them), of all nodes where trees end with two sets or more."""
     found, rows = [], _first_nodes(sets)
     for level in range(START, DEPTH + 1):
         rows = stored(rows, f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.first("n_parent").alias("n_parent")).where("n > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.first("n_parent").alias("n_parent")).where("n > 1")
         goes_on = (F.col("n") > SMALL) & (F.col("n") < TIGHT * F.col("n_parent")) & F.lit(level < DEPTH)
-        sizes = stored(sizes.select("node", "n", goes_on.alias("goes_on")), f"sizes{level}")
-        found.append(rows.select("node", "id").join(sizes.where("NOT goes_on").select("node", "n"), "node"))
+        sizes = stored(sizes.select("node", "n", "head", goes_on.alias("goes_on")), f"sizes{level}")
+        found.append(rows.select("node", "id").join(sizes.where("NOT goes_on").select("node", "n", "head"), "node"))
         more = sizes.where("goes_on").select("node", "n")
         if more.isEmpty():
             break
@@ -362,9 +362,7 @@ def _links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFr
     block = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / SMALL)).cast("int")
     rows = nodes.withColumn("block", F.when(F.col("n") > SMALL, block).otherwise(F.lit(0)))
     pairs = stored(_candidates(rows.join(_sketches(sets), "id").select("node", "block", "id", "sketch"), limit), "forests")
-    large = nodes.where(F.col("n") > SMALL)
-    heads = large.groupBy("node").agg(F.min("id").alias("b"))
-    whole = large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    whole = nodes.where(F.col("n") > SMALL).select(F.col("id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     families = components(pairs.select("a", "b").union(whole)).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
     sizes = sets.groupBy("id").agg(F.sum("size").alias("size"))  # texts that share an id are one member
     members = stored(families.join(sizes, "id"), "members")

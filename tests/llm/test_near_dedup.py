@@ -84,3 +84,42 @@ def test_sketches_estimate_similarity():
     y = np.unique(np.concatenate([x[:800], nd.mix(np.arange(5000, 5200, dtype=np.uint64))]))
     a, b = (nd.unpacked(nd.sketch(nd.minwise(np.sort(s)))[None]) for s in (x, y))
     assert abs(float(nd.similarity((a == b).sum())) - 800 / 1200) < 0.15
+
+
+def test_recall_close_to_the_limit_through_deep_trees(spark, monkeypatch):
+    """Pairs of 0.80 to 0.82, each alone among documents that share a third of their words, so that trees branch to level 5 and deeper."""
+    monkeypatch.setattr(nd, "SMALL", 4)
+    rng = np.random.default_rng(80)
+    common, rows = [f"c{i}" for i in range(70)], []
+    for p in range(500):
+        own = [f"p{p}w{i}" for i in range(130)]
+        # 21 words of 200 are others: with one-word shingles the pair shares 179 of 221 words, 0.81
+        rows += [(2 * p, " ".join(common + own)), (2 * p + 1, " ".join(common + own[21:] + [f"q{p}w{i}" for i in range(21)]))]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    levels = []
+    monkeypatch.setattr(nd, "_next_nodes", lambda *a, f=nd._next_nodes: levels.append(a[2]) or f(*a))
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), 1).collect()}
+    assert max(levels) >= 5
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[2 * p + 1] == 2 * p for p in range(500)) >= 0.97 * 500
+
+
+def test_a_family_of_large_sets_goes_in_blocks(spark, monkeypatch):
+    """Families over FAMILY sets or SHINGLES shingles are compared in blocks, with the same result."""
+    monkeypatch.setattr(nd, "FAMILY", 4)
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "SHINGLES", 2000)
+    rng = np.random.default_rng(12)
+    base = [[f"v{b}x{i}" for i in range(90)] for b in range(4)]
+    rows = [(i, edited(rng, base[i % 4], int(rng.integers(0, 13)))) for i in range(200)]
+    got = nd.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
+
+
+def test_runs_are_whole():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": k, "v": list(range(len(k)))}) for k in ([1, 1], [1], [], [1, 2], [3, 3], [4])]
+    found = [t.column("k").to_pylist() for t in nd.runs(iter(batches), ["k"])]
+    assert [x for t in found for x in t] == [1, 1, 1, 1, 2, 3, 3, 4]
+    assert all(set(a).isdisjoint(b) for i, a in enumerate(found) for b in found[:i])
