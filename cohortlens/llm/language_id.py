@@ -1,48 +1,58 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Text is lower-cased and every run of characters that are not letters counts as one space on
-each side of a word; 1-, 2- and 3-grams of code points are hashed to BUCKETS buckets.  Training
+Text is lower-cased.  A word is a run of letters and marks (of any plane), and every run of other characters counts as one
+space on each side of a word; the 1-, 2- and 3-grams of words with their two spaces are hashed to buckets, but for the lone space.  No n-gram reaches
+from one word into the next, so a text can be cut between words, and long texts are counted piece by piece.  Training
 counts n-grams for each language (Python makes sparse counts of a partition, Spark sums
-them); the log-probability matrix, languages x buckets, is a broadcast of bounded size.  Scoring
-adds matrix rows over the n-grams of a batch of documents with numpy and reduces by document.
+them); the log-probability matrix, buckets x languages, is a broadcast of at most MATRIX_CELLS floats: 2^15 buckets for up to 1,024
+languages and fewer for more, however many labels there are.  Scoring counts the n-grams of a run of documents sparsely (document, bucket, count)
+and multiplies by the matrix's rows, some languages at a time.
 
-Only text and lang of the training rows are looked at.  The classifier is fitted on at most
-`per_lang` documents of each language, those whose ids hash lowest; every document is scored, over its
+Only text and lang of the training rows are looked at.  The classifier is fitted on about
+`per_lang` documents of each language (an expected number: those whose hash of id and text is low); every document is scored, over its
 whole text.
 
 Edge cases: null text and text without a letter get `und` with score 0; without training
 rows every document is `und`; equal scores go to the language that sorts first; repeated rows are
-scored one by one; more than MAX_LANGS languages are an error, for the matrix would not be small.
+scored one by one; a word of over CHUNK characters is cut there; an empty table gives an empty result; input columns named
+lang_pred or score are replaced, others are passed on.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
-from .common import arrow_batches, frugal
+from .common import arrow_batches, by_bytes, frugal
 
-BITS = 15
-BUCKETS = 1 << BITS
-MAX_LANGS = 256
-#: Training documents of each language, at most.
+BITS, LEAST_BITS = 15, 10
+#: Cells of the matrix that is broadcast (128 MB).
+MATRIX_CELLS = 1 << 25
+#: Training documents of each language, about.
 PER_LANG = 10_000
-SMOOTHING = 0.5
-#: Code points that are scored at once.
-CHUNK = 400_000
-GAP = "  "
+#: Share of the uniform distribution that is mixed into a language's, the same for languages of few and of many documents.
+SMOOTHING = 0.02
+#: Code points that are counted at once, and cells of counts times languages.
+CHUNK, CELLS = 400_000, 4_000_000
+SPACE = 32
 
 
+def bits_for(languages: int) -> int:
+    """Buckets are 2 ** bits, so that the matrix stays within its bound."""
+    return max(LEAST_BITS, min(BITS, (MATRIX_CELLS // max(languages, 1)).bit_length() - 1))
+
+
+@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """For each code point of the basic plane its lower case if it is a letter, else a space."""
-    table = np.full(1 << 16, 32, np.uint32)
-    for i in range(1 << 16):
+    """For each code point its lower case if it is a letter or mark, else a space."""
+    table = np.full(0x110000, SPACE, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
         if unicodedata.category(c)[0] in "LM":
             low = c.lower()
@@ -50,26 +60,52 @@ def letters() -> np.ndarray:
     return table
 
 
-def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1-, 2- and 3-grams of the texts, (3, total), and where each text begins in them.
-
-    A text is followed by a gap of spaces, so no n-gram that begins in it holds letters of the next; what begins in a
-    gap is bucket 0, the same for every text."""
-    joined = GAP.join(texts) + GAP
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(code < 1 << 16, table[np.minimum(code, 0xFFFF)], code)
-    starts = np.concatenate([[0], np.cumsum([len(t) + len(GAP) for t in texts])[:-1]])
-    out = np.empty((3, len(code)), np.uint32)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def pieces(texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Runs of (text's place, code points of it or of a piece), of about CHUNK code points; pieces end between words."""
+    table, run, n = letters(), [], 0
+    for place, text in enumerate(texts):
+        code = table[code_points(text)]
+        while len(code):
+            end = len(code)
+            if end > CHUNK:
+                gaps = np.flatnonzero(code[:CHUNK] == SPACE)
+                end = int(gaps[-1]) + 1 if len(gaps) else CHUNK
+            if run and n + end > CHUNK:
+                yield run
+                run, n = [], 0
+            run.append((place, code[:end]))
+            code, n = code[end:], n + end
+    if run:
+        yield run
+
+
+def grams(run: list[tuple[int, np.ndarray]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of a run of pieces, and the piece (its place in the run) that each is of."""
+    gap = np.full(1, SPACE, np.uint32)
+    code = np.concatenate([part for _, c in run for part in (gap, c, gap)])
+    piece = np.repeat(np.arange(len(run)), [len(c) + 2 for _, c in run])
+    solid = code != SPACE
+    # a space stays if a word begins or ends beside it; between two words it stays twice, as each has its own
+    before, after = np.append(False, solid[:-1]), np.append(solid[1:], False)
+    times = np.where(solid, 1, before.astype(np.int8) + after)
+    code, piece = np.repeat(code, times), np.repeat(piece, times)
+    solid = code != SPACE
     h = code * np.uint32(0x9E3779B1)
+    buckets, owners = [], []
     for n in range(3):
         if n:
-            h = h * np.uint32(0x85EBCA6B)
-            h[:-n] += (code * np.uint32(0x9E3779B1))[n:]
-        mixed = h ^ (h >> np.uint32(15))
-        out[n] = (mixed * np.uint32(0xC2B2AE35) + np.uint32(n)) >> np.uint32(32 - BITS)
-    gaps = starts + [len(t) for t in texts]
-    out[:, np.concatenate([gaps + k for k in range(len(GAP))])] = 0
-    return out, starts
+            h = h[:-1] * np.uint32(0x85EBCA6B) + (code * np.uint32(0x9E3779B1))[n:]
+        m = len(h)
+        # letters inside, spaces at most at the ends, and two spaces in a row are two words
+        inside = solid[:m].copy() if n == 0 else solid[:m] | solid[1 : m + 1] if n == 1 else solid[1 : m + 1]
+        mixed = h[inside] ^ (h[inside] >> np.uint32(15))
+        buckets.append((mixed * np.uint32(0xC2B2AE35) + np.uint32(n)) >> np.uint32(32 - bits))
+        owners.append(piece[:m][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,58 +115,78 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order, and their log-probabilities (buckets x languages, float32)."""
     arrow_batches(docs.sparkSession)
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counted) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows = docs.where(F.col("lang").isNotNull() & F.col(text).isNotNull())
+    # one row a language: labels, not documents
+    counted = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counted)
+    bits = bits_for(len(langs))
     if not langs:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    # a threshold on the id's hash keeps about per_lang documents of each language, without a sort
-    share = F.lit(1.0)
-    for r in counted:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
-    unit = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    sample = rows.where(unit < share).select("lang", text)
+        return [], np.zeros((1 << bits, 0), np.float32)
+    # a threshold on a hash keeps about per_lang documents of each language, without a sort
+    shares = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    unit = (F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    sample = rows.where(unit < shares[F.col("lang")]).select("lang", text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = letters(), {}
-        for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(t)
-            for lang, texts in by_lang.items():
-                for chunk in chunks(texts, CHUNK):
-                    found = np.bincount(grams(chunk, table)[0].ravel(), minlength=BUCKETS)
-                    sums[lang] = sums.get(lang, 0) + found
-        for lang, found in sums.items():
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(found[at])], ["lang", "bucket", "n"])
-
-    # at most MAX_LANGS x BUCKETS sums, whatever the input's size
-    sums = sample.mapInArrow(frugal(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((BUCKETS, len(langs)), SMOOTHING)
-    counts[sums.bucket, sums.lang.map({lang: i for i, lang in enumerate(langs)})] += sums.n
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        sums: dict[str, np.ndarray] = {}
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, found in sums.items():
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(found[at])], ["lang", "bucket", "n"])
+            sums.clear()
 
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, table: np.ndarray) -> tuple[list[str], list[float]]:
+        for batch in batches:
+            for part in by_bytes(batch):
+                by_lang: dict[str, list[str]] = {}
+                for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by_lang.setdefault(lang, []).append(t)
+                for lang, texts in by_lang.items():
+                    for run in pieces(texts):
+                        sums[lang] = sums.get(lang, 0) + np.bincount(grams(run, bits)[0], minlength=1 << bits)
+                    if len(sums) << bits > MATRIX_CELLS // 4:
+                        yield from rows()
+        yield from rows()
+
+    # at most MATRIX_CELLS sums, whatever the input's size
+    sums = sample.mapInArrow(frugal(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((1 << bits, len(langs)), np.float32)
+    counts[sums.bucket, sums.lang.map({lang: i for i, lang in enumerate(langs)})] = sums.n.to_numpy(np.float32)
+    share = counts / np.maximum(counts.sum(axis=0, dtype=np.float64), 1)
+    return langs, np.log((1 - SMOOTHING) * share + SMOOTHING / len(counts)).astype(np.float32)
+
+
+def likelihoods(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each text under each language (texts x languages)."""
+    sums = np.zeros((len(texts), matrix.shape[1]))
+    bits = len(matrix).bit_length() - 1
+    for run in pieces(texts):
+        bucket, piece = grams(run, bits)
+        for first in range(0, len(run), 64):
+            mine = (piece >= first) & (piece < first + 64) if len(run) > 64 else slice(None)
+            counts = np.bincount((piece[mine] - first) << bits | bucket[mine].astype(np.int64))
+            at = np.flatnonzero(counts)
+            if not len(at):
+                continue
+            row, column, n = at >> bits, at & (1 << bits) - 1, counts[at].astype(np.float32)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            places = [run[first + int(r)][0] for r in row[starts]]
+            step = max(1, CELLS // len(at))
+            for k in range(0, matrix.shape[1], step):
+                part = np.add.reduceat(matrix[column, k : k + step] * n[:, None], starts, axis=0, dtype=np.float64)
+                np.add.at(sums[:, k : k + step], places, part)
+    return sums
+
+
+def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
     """Best language and its posterior probability, for each text."""
-    names, scores = [], []
-    for chunk in chunks([t or "" for t in texts], CHUNK):
-        ids, starts = grams(chunk, table)
-        total = np.zeros((len(ids[0]), len(langs)), np.float32)
-        for row in ids:
-            total += matrix[row]
-        sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64) if langs else np.zeros((len(chunk), 0))
-        best = sums.argmax(axis=1) if langs else []
-        top = sums.max(axis=1, keepdims=True) if langs else sums
-        share = 1 / np.exp(sums - top).sum(axis=1) if langs else []
-        for k, text in enumerate(chunk):
-            known = bool(langs) and any(map(str.isalpha, text))
-            names.append(langs[best[k]] if known else "und")
-            scores.append(float(share[k]) if known else 0.0)
-    return names, scores
+    texts = [t or "" for t in texts]
+    if not langs:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    sums = likelihoods(texts, matrix)
+    best, shares = sums.argmax(axis=1), 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    known = [any(map(str.isalpha, t)) for t in texts]
+    return [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(shares, known, strict=True)]
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str = "text") -> DataFrame:
@@ -141,9 +197,8 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str = "
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = letters()
-        for batch in batches:
-            names, scores = score_texts(batch.column(text).to_pylist(), *shared.value, table)
+        for batch in (part for whole in batches for part in by_bytes(whole)):
+            names, scores = score_texts(batch.column(text).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run), schema)

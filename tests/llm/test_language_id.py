@@ -1,4 +1,5 @@
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -9,44 +10,81 @@ from cohortlens.llm import language_id as lid
 from tests.llm.cases import SCHEMA, awkward, empty
 
 
-def brute_grams(text, table):
-    """n-grams of a text and its gap, hashed one at a time: rows for n = 1, 2, 3."""
-    code = [int(table[ord(c)]) if ord(c) < 1 << 16 else ord(c) for c in text + lid.GAP]
-    rows, m = [], 0xFFFFFFFF
-    for n in (1, 2, 3):
-        row = []
-        for i in range(len(text)):
-            h = 0
-            for k in range(n):
-                h = (h * 0x85EBCA6B + code[i + k] * 0x9E3779B1) & m
-            mixed = h ^ (h >> 15)
-            row.append(((mixed * 0xC2B2AE35 + n - 1) & m) >> (32 - lid.BITS))
-        rows.append(row + [0] * len(lid.GAP))
-    return rows
-
-
-def test_grams_match_brute_force():
-    table = lid.letters()
-    texts = ["Ab c", "", "ÉTÉ 🙂x", "z"]
-    ids, starts = lid.grams(texts, table)
-    ends = [*starts[1:], ids.shape[1]]
-    assert [ids[:, a:b].tolist() for a, b in zip(starts, ends)] == [brute_grams(t, table) for t in texts]
-
-
-def test_scores_are_naive_bayes():
+def brute_grams(text, bits=lid.BITS):
+    """Sorted buckets of a text's n-grams, hashed one at a time: of each word, lower-cased, with a space on each side."""
+    out, m, word = [], 0xFFFFFFFF, ""
+    for c in text + " ":
+        if unicodedata.category(c)[0] in "LM":
+            word += c.lower() if len(c.lower()) == 1 else c
+        elif word:
+            for n in (1, 2, 3):
+                for i in range(len(word) + 3 - n):
+                    gram, h = f" {word} "[i : i + n], 0
+                    for x in gram:
+                        h = (h * 0x85EBCA6B + ord(x) * 0x9E3779B1) & m
+                    if gram != " ":
+                        out.append((((h ^ (h >> 15)) * 0xC2B2AE35 + n - 1) & m) >> (32 - bits))
+            word = ""
+    return sorted(out)
+
+
+TEXTS = ["Ab c", "", "ÉTÉ 🙂x", "z", " -- a1b\n\n  c.. 𝒳𐐀 e\u0301", "123 !", "one  two\tthree " * 9]
+
+
+@pytest.mark.parametrize("chunk", [400_000, 7])
+def test_grams_match_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(lid, "CHUNK", chunk)
+    found = {i: [] for i in range(len(TEXTS))}
+    for run in lid.pieces(TEXTS):
+        bucket, piece = lid.grams(run)
+        for b, k in zip(bucket.tolist(), piece.tolist(), strict=True):
+            found[run[k][0]].append(b)
+    assert [sorted(found[i]) for i in range(len(TEXTS))] == [brute_grams(t) for t in TEXTS]
+
+
+@pytest.mark.parametrize(("chunk", "cells"), [(400_000, 4_000_000), (7, 3)])
+def test_scores_are_naive_bayes(monkeypatch, chunk, cells):
+    monkeypatch.setattr(lid, "CHUNK", chunk)
+    monkeypatch.setattr(lid, "CELLS", cells)
     rng = np.random.default_rng(1)
-    matrix = np.log(rng.dirichlet(np.ones(lid.BUCKETS), 3).T).astype(np.float32)
-    table = lid.letters()
-    names, scores = lid.score_texts(["hello there", "x", None, "123", "ça va"], ["a", "b", "c"], matrix, table)
-    for text, name, score in zip(["hello there", "x", None, "123", "ça va"], names, scores):
-        if text in (None, "123"):
+    matrix = np.log(rng.dirichlet(np.ones(1 << lid.BITS), 3).T).astype(np.float32)
+    texts = ["hello there", "x", None, "123", "ça va", *TEXTS, *["x y z"] * 100]
+    for text, name, score in zip(texts, *lid.score_texts(texts, ["a", "b", "c"], matrix), strict=True):
+        if not any(map(str.isalpha, text or "")):
             assert (name, score) == ("und", 0.0)
             continue
-        ids, _ = lid.grams([text], table)
-        s = matrix[ids.ravel()].astype(float).sum(axis=0)
+        s = matrix[brute_grams(text)].astype(float).sum(axis=0)
         assert name == "abc"[int(s.argmax())] and score == pytest.approx(1 / np.exp(s - s.max()).sum(), rel=1e-3)
 
 
+def test_a_language_of_short_documents_has_no_advantage(spark):
+    rows = [(i, "ab cd " * (200 if i % 2 else 1), "long" if i % 2 else "short", "s", 1) for i in range(40)]
+    langs, matrix = lid.train(spark.createDataFrame(rows, SCHEMA))
+    names, scores = lid.score_texts(["ab", "cd ab"], langs, matrix)
+    assert langs == ["long", "short"] and names == ["long", "long"] and scores == pytest.approx([0.5, 0.5], abs=1e-3)
+
+
+def test_many_languages(spark):
+    rows = [(i * 3 + k, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 5, f"l{i}", "s", 1) for i in range(300) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    langs, matrix = lid.train(docs)
+    assert len(langs) == 300 and lid.score_texts(["waaq waaq"], langs, matrix)[0] == ["l0"]
+    assert [lid.bits_for(n) << 0 for n in (0, 1, 1024, 1025, 5000, 10**6)] == [15, 15, 15, 14, 12, 10]
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    matrix = np.full((1 << lid.BITS, 50), -10.0, np.float32)
+    text = "some words and others " * 200_000
+    lid.letters()
+    tracemalloc.start()
+    lid.score_texts([text], [f"l{i:02}" for i in range(50)], matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text) // 4 + 150_000_000
+
+
 def corpus(spark):
     words = {"en": "the and with from this house water", "de": "der und mit von dieses haus wasser", "fr": "le et avec de cette maison eau"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(words[lang].split() * 3)), lang if i % 11 else None, "s", 1) for i in range(300) for lang in [list(words)[i % 3]]]
@@ -83,4 +121,4 @@ def test_awkward(spark):
 def test_training_sample_is_bounded(spark):
     docs, _ = corpus(spark)
     langs, matrix = lid.train(docs, per_lang=10)
-    assert langs == ["de", "en", "fr"] and matrix.shape == (lid.BUCKETS, 3) and math.isclose(float(np.exp(matrix[:, 0].astype(float)).sum()), 1, rel_tol=1e-3)
+    assert langs == ["de", "en", "fr"] and matrix.shape == (1 << lid.BITS, 3) and math.isclose(float(np.exp(matrix[:, 0].astype(float)).sum()), 1, rel_tol=1e-3)
