@@ -6,10 +6,11 @@ ranks only, ends in.  The `tokenizers` library then encodes Arrow batches; every
 split pattern matches is encoded by itself, and special strings are ordinary text.
 
 Decoding looks up each id's bytes and joins them; a character split over several ids is whole
-again after the join.  `char_spans` maps ids to code point spans the same way.
+again after the join.  `char_spans` maps ids to code point spans the same way: ids that share a split character all span it.
 
 Edge cases: null text encodes as empty text (no ids); an empty table gives an empty result;
-repeated rows are encoded independently; other columns of the input are not touched.
+repeated rows are encoded independently; a very long text is split into pieces PIECES at a time, so a worker holds its ids and
+no list of all its pieces; other columns of the input are not touched, and those that bear a name of the result are replaced.
 """
 
 from __future__ import annotations
@@ -17,17 +18,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, frugal, remembers
+from .common import arrow_batches, by_bytes, frugal, remembers
 
 #: Code points of text that are split at once; bounds a worker's memory.
 CHUNK = 400_000
+#: Pieces of a long text that are encoded at once.
+PIECES = 100_000
 #: Pieces that a worker remembers the ids of.
 CACHE_PIECES = 150_000
 
@@ -99,11 +104,15 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        # of each id: the characters that begin in its bytes, whether it begins inside one, whether it is empty
+        self.begun = np.array([sum(b & 0xC0 != 0x80 for b in t) for t in self.bytes], np.int64)
+        self.inside = np.array([bool(t) and t[0] & 0xC0 == 0x80 for t in self.bytes], np.int64)
+        self.solid = np.array([bool(t) for t in self.bytes], np.int64)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -114,35 +123,39 @@ class ByteBpe:
         """The ids (int32) of each text, a bounded number of characters at a time.
 
         Pieces are encoded each by itself and recur, so most ids come from memory."""
+        for chunk in chunks(texts, CHUNK):
+            if len(chunk[0]) <= CHUNK:
+                yield from self._ids([self.pattern.findall(t) for t in chunk])
+                continue
+            found, matches = [], self.pattern.finditer(chunk[0])  # a chunk with a longer text is that text alone
+            while split := [m.group() for m in islice(matches, PIECES)]:
+                found += self._ids([split])
+            yield np.concatenate(found) if found else np.empty(0, np.int32)
+
+    def _ids(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The ids of lists of pieces."""
         known = self.known
-        for chunk in chunks(texts):
-            split = [self.pieces(t) for t in chunk]
-            found = [[*map(known.get, ps)] for ps in split]
-            holes = [(f, ps, [i for i, ids in enumerate(f) if ids is None]) for f, ps in zip(found, split, strict=True) if None in f]
-            new = [*{ps[i] for _, ps, at in holes for i in at}]
-            fresh = {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            for f, ps, at in holes:
-                for i in at:
-                    f[i] = fresh[ps[i]]
-            for f in found:
-                yield np.frombuffer(b"".join(f), np.int32)
-            if len(known) < CACHE_PIECES:
-                known |= fresh
+        found = [[*map(known.get, ps)] for ps in split]
+        holes = [(f, ps, [i for i, ids in enumerate(f) if ids is None]) for f, ps in zip(found, split, strict=True) if None in f]
+        new = [*{ps[i] for _, ps, at in holes for i in at}]
+        fresh = {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        for f, ps, at in holes:
+            for i in at:
+                f[i] = fresh[ps[i]]
+        if len(known) < CACHE_PIECES:
+            known |= fresh
+        return [np.frombuffer(b"".join(f), np.int32) for f in found]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def char_spans(self, ids: list[int]) -> list[tuple[int, int]]:
-        """Code points [start, end) that each id takes part in.  Ids that share a split
-        character all span it."""
-        spans, chars = [], 0
-        for i in ids:
-            token = self.bytes[i]
-            # a continuation byte at the front belongs to the character begun before
-            start = chars - 1 if token and token[0] & 0xC0 == 0x80 else chars
-            chars += sum(b & 0xC0 != 0x80 for b in token)
-            spans.append((start, max(chars, start + 1) if token else start))
-        return spans
+    def char_spans(self, ids: np.ndarray) -> np.ndarray:
+        """Code points [start, end) that each id takes part in, as two rows."""
+        begun, inside = self.begun[ids], self.inside[ids]
+        chars = np.cumsum(begun)
+        # a continuation byte at the front belongs to the character begun before
+        starts = chars - begun - inside
+        return np.stack([starts, np.maximum(chars, starts + self.solid[ids])]).astype(np.int32)
 
 
 _CODECS: dict[str, ByteBpe] = {}
@@ -172,38 +185,43 @@ def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
-    """docs' columns without the text, and ids array<int> (if asked for), n_tokens long,
-    ids_sha256 string (decimal ids, one space between), decoded_sha256 string.
+    """docs' columns without the text, and n_tokens long, ids_sha256 string (decimal ids, one space between), decoded_sha256 string,
+    offsets_crc32 long (of starts and then ends, little-endian 32-bit); before them, if asked for, ids array<int> and their offsets in code
+    points, starts and ends array<int>.
 
-    One narrow pass; the rank table (under 1 MB) goes to the workers with the task.
-    Columns of the input that bear one of those names are replaced."""
+    One narrow pass; the rank table (under 1 MB) goes to the workers with the task."""
     spark = docs.sparkSession
     arrow_batches(spark)
     ranks = read_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, tokenizer_json(ranks, pattern), pattern))
-    made = ["ids"] * ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kinds = {"ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "offsets_crc32": "bigint"}
+    made = [c for c in kinds if ids or kinds[c] != "array<int>"]
     kept = [c for c in docs.columns if c != text and c not in made]
-    kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {kinds[c]}" for c in made])
 
+    def lists(rows: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         bpe = codec(*shared.value)
         decimal = [str(i) for i in range(len(bpe.bytes))]
-        for batch in batches:
-            arrays, digests, back = [], [], []
+        for batch in (part for whole in batches for part in by_bytes(whole)):
+            arrays, spans, digests, back, crcs = [], [], [], [], []
             for found in bpe.encode([t or "" for t in batch.column(text).to_pylist()]):
-                one = found.tolist()
-                arrays.append(found)
+                one, span = found.tolist(), bpe.char_spans(found)
                 digests.append(hashlib.sha256(" ".join(map(decimal.__getitem__, one)).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(one)).hexdigest())
-            sizes = np.array([len(x) for x in arrays], np.int64)
-            columns = [pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string())]
-            if ids:
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                columns.insert(0, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]))))
+                crcs.append(zlib.crc32(span.tobytes()))
+                arrays.append(found if ids else len(found))
+                if ids:
+                    spans.append(span)
+            sizes = np.array([len(x) for x in arrays] if ids else arrays, np.int64)
+            columns = [lists(x, sizes) for x in (arrays, [s[0] for s in spans], [s[1] for s in spans])] if ids else []
+            columns += [pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, kept + made)
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(frugal(run, "codec"), schema)

@@ -27,7 +27,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small where the session has Spark's default."""
+    """Keep Arrow batches small where the session has Spark's default (a caller's own setting stays).  Spark bounds their bytes itself
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); `by_bytes` cuts them further."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(ARROW_ROWS))

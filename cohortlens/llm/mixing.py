@@ -12,11 +12,12 @@ sorting sources by cap / weight and one running sum.
 Prefix sums are distributed: a key's first hex digits name a bucket, sizes are summed for each (source, bucket)
 before any shuffle, running sums over buckets give each bucket its start, and
 within a bucket (about BUCKET_ROWS rows) a window sorts and sums.  So a source with a third of
-all rows is spread over as many tasks as it has buckets, and texts are never shuffled.
+all rows is spread over as many tasks as it has buckets, and texts are never shuffled.  The key is a hash of id and
+text, so rows that share an id, or have none, are spread too; rows equal in both are counted before the shuffle and come out of one.
 
 Edge cases: null text has size 0 and is taken 0 times; null source is a source; a null doc_id hashes
 like the empty string; repeated rows are ordered arbitrarily among themselves, which can't change the result as
-a multiset; an empty table gives an empty result; sources of size 0 have target 0; clashing input columns do not
+a multiset; very long texts are only hashed and counted; an empty table gives an empty result; sources of size 0 have target 0; clashing input columns do not
 matter, for the result has its own.
 """
 
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -63,21 +64,26 @@ def mix(docs: DataFrame, split_last: bool = True, carry: list[str] | None = None
 
     split_last: a source's budget is met to the word, by a part of the last document; else that document
     is taken whole if at least half of it fits (budget met to half a document)."""
-    rest = [F.struct(*carry).alias("row")] if carry else []
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *rest)
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), *([F.struct(*carry).alias("row")] if carry else []))
+    if not carry:  # a few bytes a row are kept, so that texts are read and counted once
+        rows = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("rows")), "sizes")
     digits = max(1, math.ceil(math.log(max(docs.select("doc_id").count(), 1) / BUCKET_ROWS + 1, 16)))
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("key", 1, digits))
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     # a null source can't be joined on with ==, so it gets a name that no source has
     rows = rows.withColumn("known", F.col("source").isNotNull()).withColumn("name", F.coalesce("source", F.lit("")))
     place = ["known", "name", "bucket"]
-    sums = rows.groupBy(*place).agg(F.sum("size").alias("bucket_size"))
+    weight = F.col("size") if carry else F.col("size") * F.col("rows")
+    sums = rows.groupBy(*place).agg(F.sum(weight).alias("bucket_size"))
     t = targets(sums.groupBy("known", "name").agg(F.sum("bucket_size").alias("source_size")).select(F.when(F.col("known"), F.col("name")).alias("source"), "source_size"))
     t = t.select(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
     so_far = Window.partitionBy("known", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).drop("bucket_size")
     starts = starts.join(t, ["known", "name"])
     inside = Window.partitionBy(*place).orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, place)
+    rows = rows.withColumn("start", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(starts, place)
+    if not carry:
+        rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     start, size = F.col("start") + F.col("bucket_start"), F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
@@ -90,7 +96,7 @@ def mix(docs: DataFrame, split_last: bool = True, carry: list[str] | None = None
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap,

@@ -16,7 +16,7 @@ committer, so a lost executor's tasks are run again and leave nothing behind.
 
 Edge cases: null text is empty text (the end id alone); an empty table gives an empty file
 set; repeated rows and ids stay, next to each other; null doc_id sorts first; a document larger than
-BLOCK_BYTES gets a block of its own.
+BLOCK_BYTES gets a block of its own; other columns of the input are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches, frugal, remembers
+from .common import arrow_batches, by_bytes, frugal, remembers
 
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-#: The dictionary's training sample: at most so many documents, of each the first so many characters.
+#: The dictionary's training sample: at most so many documents, of each the first so many characters.  It decides how small the files get; what
+#: they hold is all of every text.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 4096, 32 << 10
 #: Words that a worker remembers the ids of.
 CACHE_WORDS = 350_000
@@ -161,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow_schema, strict=True)], schema=arrow_schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole)):
             for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 if frames and (len(frames) >= BLOCK_DOCS or held + len(raw) > BLOCK_BYTES):
                     yield flush()
@@ -206,8 +207,9 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         import zstandard
 
         readers = {h: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None) for h, d in dictionaries.items()}
-        for batch in batches:
-            for row in batch.to_pylist():
+        for batch in (part for whole in batches for part in by_bytes(whole)):
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
                 frames, cuts, dtype, reader = row["frames"], row["frame_offsets"], np.dtype(f"<u{row['width']}"), readers[row["dict_hash"]]
                 found = [np.frombuffer(reader.decompress(frames[a:b]), dtype) for a, b in zip(cuts, cuts[1:], strict=False)]
                 columns = [

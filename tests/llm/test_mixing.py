@@ -63,3 +63,13 @@ def test_rows_are_carried(spark):
     docs = awkward(spark)
     got = mixing.mix(docs, carry=docs.columns).select("row.*").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+@pytest.mark.parametrize("carry", [None, ["doc_id", "text"]])
+def test_rows_without_ids_are_spread_and_repeated_rows_counted(spark, monkeypatch, carry):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(None, f"w{i} " * (i % 9 + 1), "en", "s", 1) for i in range(300)] + [(None, "same text", "en", "s", 1)] * 200 + [(5, "x", "en", "t", 1)] * 40
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), carry=carry).collect()
+    sizes = sorted(len(r[1].split()) for r in rows)
+    assert sorted(r["size"] for r in got) == sizes and sum(r.taken for r in got if r.source == "s") == int(next(r.target for r in got if r.source == "s") + 1e-9)
+    assert len({F for F in (r.taken for r in got if r.source == "s" and r["size"] == 2)}) <= 3
