@@ -1,20 +1,23 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
+Templates are data: a mapping, or a table (license, text) read by `read_templates`; the default ones are notices and short licence texts.
 Texts become tokens (runs of ASCII letters and digits and of other characters, A-Z lower-cased), hashed in bulk with numpy.  Each
-template's K-grams are winnowed: of every WINDOW neighbouring ones the least hash is kept, so any shared run of
-K + WINDOW - 1 tokens shares a fingerprint.  The inverted index (fingerprint -> template, position) is small and goes out
-with the task.  All K-grams of a document are looked up, first in a bit table and then in the index; hits of a
-template that lie on nearby diagonals make a candidate.  A local alignment of the template with the document around
+template's k-grams are winnowed: of every w neighbouring ones the least hash is kept, so any shared run of
+k + w - 1 tokens shares a fingerprint; k and w are K and WINDOW, and less for templates of under LONG tokens, which are notices.  The inverted index (fingerprint -> template, position) is small and goes out
+with the task.  All k-grams of a document are looked up, first in a bit table and then in the index; hits of a
+template whose diagonals lie within BAND of the first one's make a candidate.  If enough of the template's tokens are there at all, a local alignment of the template with the document around
 those diagonals (a band of BAND to each side) gives the matched tokens, and so coverage (matched tokens of the template's)
-and span.  Matches of at least COVERAGE are reported; of overlapping ones the one with most matched tokens.
+and span; what matched is masked and the rest aligned again, until too little is left, so every repetition is found.  Matches of at least COVERAGE are reported; of
+overlapping ones the one with most matched tokens.  Bands have a fixed width, so time is linear in the text and its hits.
 
-Edge cases: null and empty text match nothing; templates under K tokens are one fingerprint of their own length and matched by it; repeated
-rows are scanned one by one; time is linear in the text, so long texts are fine; an empty table gives an empty result; clashing
+Edge cases: null and empty text match nothing; templates under k tokens are one fingerprint of their own length and matched by it; repeated
+rows are scanned one by one; long texts are scanned whole, and repeated notices in them are all reported; an empty table gives an empty result; clashing
 columns of the input are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -24,29 +27,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import arrow_batches, frugal
+from .common import arrow_batches, by_bytes, frugal
 from .near_dedup import _BASE, _BYTE, mix
 
-K, WINDOW, BAND, COVERAGE = 3, 2, 4, 0.8
+K, WINDOW, BAND, COVERAGE = 5, 4, 4, 0.8
+#: Shorter templates have their own k and w.
+LONG, NOTICE_K, NOTICE_WINDOW = 40, 3, 2
 CHUNK = 250_000
 _U = np.uint64
 _PART = np.ones(256, bool)
 _PART[:128] = False
 _PART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
-#: Notices of common licences (fixed values); a caller may pass others, of any length.
+#: Notices and short texts of common licences (fixed values).  Neighbouring licences and versions are there so that the best match decides.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "GPL-2.0": ["licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "GPL-3.0": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
     "proprietary": ["All rights reserved"],
 }
 
 
+def read_templates(table: DataFrame) -> dict[str, list[str]]:
+    """Templates from a table (license, text): licence texts, as many as a worker holds an index of."""
+    found: dict[str, list[str]] = {}
+    for r in table.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").distinct().orderBy("license", "text").collect():
+        found.setdefault(r.license, []).append(r.text)
+    return found
+
+
 def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of lower-cased text, and where they start and end in bytes."""
     raw = np.frombuffer(data, np.uint8)
@@ -85,16 +107,16 @@ class Index:
 
     def __init__(self, templates: Mapping[str, list[str]]):
         self.names, self.hashes, self.at = [], [], {}
-        self.sizes = {K}
+        self.sizes: set[int] = set()
         for name, texts in sorted(templates.items()):
             for text in texts:
                 h = tokens(text.encode().lower())[0]
-                k = min(K, len(h))
+                k, window = (K, WINDOW) if len(h) >= LONG else (min(NOTICE_K, len(h)), NOTICE_WINDOW)
                 if not k:
                     continue
                 self.sizes.add(k)
                 g = grams(h, k)
-                for i in winnow(g):
+                for i in winnow(g, window):
                     self.at.setdefault((k, int(g[i])), []).append((len(self.names), i))
                 self.names.append(name)
                 self.hashes.append(h)
@@ -151,37 +173,48 @@ class Match:
     end: int
 
 
+def occurrences(a: np.ndarray, h: np.ndarray, low: int, high: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """Matches (matched tokens, first token, past last token) of template a in text h on diagonals low..high: the best, then the best of what it
+    leaves, and so on."""
+    first, last = max(0, low), min(len(h), high + len(a))
+    part = h[first:last].copy()
+    while np.isin(a, part).sum() >= least * len(a):
+        n, start, end = align(a, part, low - first, high - first)
+        if n < least * len(a):
+            return
+        yield n, start + first, end + first
+        part[start:end] = 0  # no token's hash but by chance, and then one token is lost
+
+
 def scan_tokens(index: Index, h: np.ndarray, least: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, first token, past last token, matched) without overlaps, in order."""
-    diagonals: dict[int, list[tuple[int, int]]] = {}
+    diagonals: dict[int, set[int]] = {}
     for template, j, i in index.seeds(h):
-        diagonals.setdefault(template, []).append((i - j, i))
+        diagonals.setdefault(template, set()).add(i - j)
     found = set()
     for template, hits in diagonals.items():
         a = index.hashes[template]
-        hits.sort()
-        group = [hits[0]]
-        for hit in [*hits[1:], (1 << 62, 0)]:
-            if hit[0] - group[-1][0] <= BAND:
-                group.append(hit)
-                continue
-            low, high = group[0][0] - BAND, group[-1][0] + BAND
-            n, start, end = align(a, h, low, high)
-            if n >= least * len(a):
-                found.add((index.names[template], round(n / len(a), 4), start, end, n))
-            group = [hit]
+        low = high = None
+        for d in [*sorted(hits), None]:
+            if low is not None and (d is None or d - low > BAND):
+                for n, start, end in occurrences(a, h, low - BAND, high + BAND, least):
+                    found.add((index.names[template], round(n / len(a), 4), start, end, n))
+                low = None
+            low, high = d if low is None else low, d
     out: list[tuple[str, float, int, int, int]] = []
     for m in sorted(found, key=lambda m: (-m[4], -m[1], m[2], m[0])):
-        if all(m[3] <= o[2] or m[2] >= o[3] for o in out):
-            out.append(m)
-    return sorted(out, key=lambda m: m[2])
+        at = bisect(out, m[2], key=lambda o: o[2])
+        if (at == 0 or out[at - 1][3] <= m[2]) and (at == len(out) or out[at][2] >= m[3]):
+            out.insert(at, m)
+    return out
 
 
 def scan_texts(index: Index, texts: list[str], least: float = COVERAGE) -> Iterator[list[Match]]:
     """The matches of each text, with spans in code points."""
     for chunk in chunks(texts, CHUNK):
         data = [t.encode().lower() for t in chunk]
-        h, starts, ends = tokens(b"\n".join(data) + b"\n")
+        joined = b"\n".join(data) + b"\n"
+        h, starts, ends = tokens(joined)
         begins = np.cumsum([0] + [len(d) + 1 for d in data])
         bounds = np.searchsorted(starts, begins)
         # texts without a fingerprint, which are most, cost no more than the bit table
@@ -193,8 +226,10 @@ def scan_texts(index: Index, texts: list[str], least: float = COVERAGE) -> Itera
         for i, d in enumerate(data):
             a, b = int(bounds[i]), int(bounds[i + 1])
             found = scan_tokens(index, h[a:b], least) if hot[b] > hot[a] else []
-            place = lambda at: len(d[: at - begins[i]].decode())  # noqa: B023, E731
-            yield [Match(name, coverage, place(int(starts[a + s])), place(int(ends[a + e - 1]))) for name, coverage, s, e, _ in found]
+            # code points before each byte
+            before = np.cumsum(np.frombuffer(d, np.uint8) & 0xC0 != 0x80) if found else []
+            place = lambda at: int(before[at - 1]) if at else 0  # noqa: B023, E731
+            yield [Match(name, coverage, place(int(starts[a + s] - begins[i])), place(int(ends[a + e - 1] - begins[i]))) for name, coverage, s, e, _ in found]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, least: float = COVERAGE, text: str = "text") -> DataFrame:
@@ -207,7 +242,7 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole)):
             found = [[vars(m) for m in ms] for ms in scan_texts(index, [t or "" for t in batch.column(text).to_pylist()], least)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found, kind)], [*kept, "licenses"])
 
