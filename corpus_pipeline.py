@@ -27,10 +27,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near duplicates (five-word shingles, 0.8) the least doc_id stays, once."""
     found = stored(near_dedup.near_duplicates(docs, width=5, percent=80), "near-duplicates")
     dropped = found.where("NOT kept").select("doc_id").distinct()
-    # most documents are surely kept and aren't shuffled; the rest meet the exact list
     told = maybe_among(docs.select(*COLUMNS), "doc_id", dropped)
-    unsure = told.where("maybe").join(dropped, "doc_id", "left_anti")
-    kept = told.where("NOT maybe").select(*COLUMNS).union(unsure.select(*COLUMNS))
+    if told is None:  # too many for a filter that is broadcast
+        kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    else:  # most documents are surely kept and aren't shuffled; the rest meet the exact list
+        unsure = told.where("maybe").join(dropped, "doc_id", "left_anti")
+        kept = told.where("NOT maybe").select(*COLUMNS).union(unsure.select(*COLUMNS))
     repeated = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
