@@ -24,7 +24,7 @@ def steps(spark):
 
 def test_columns_stay_until_the_last(steps):
     assert all(d.columns == cp.COLUMNS for d in steps[:-1])
-    assert steps[-1].columns == ["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert steps[-1].columns == ["doc_id", "source", "ids", "starts", "ends", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"]
 
 
 def test_quality_keeps_whole_rows(steps):
