@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import shared_dir
+
 # fixed values
 DOMINANCE_TRIALS, DOMINANCE_RATIO, MERGE_TRIALS, LONG_LIST = 5, 10, 2, 4
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared checkpoint folder (a temporary one only where none is set)."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
+    """df with its lineage cut, in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortlens-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -4,6 +4,9 @@ A trial is an order, an intervention an order line (number = line number), an as
 of an order with one return flag, a lead sponsor a customer's nation, a condition a part's name (mesh surface) or
 brand (listed surface).  So all views run, unchanged, on tables of any size; `REGISTRY_SQL` says the
 same in DuckDB's SQL.
+
+Like the index that a real build writes, these tables are kept in the shared folder, bucketed by study: each is written when a query of the
+session first asks for it, and lines are aggregated and joined with parts once.
 """
 
 from __future__ import annotations
@@ -12,13 +15,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.roles import assign_roles
+from cohortlens.session import Kept
 
 
 def asset() -> Column:
     return F.concat(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit("x"), (F.col("p_size") % 4).cast("string"))
 
 
-def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+_INDEX: dict[tuple[str, str], Kept] = {}
+
+
+def registry(spark: SparkSession, sf_dir: str) -> Kept:
+    """The tables made from those of a folder, one index for each session and folder."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _INDEX:
+        names = [*_derived(spark, sf_dir, _lines(spark, sf_dir))]
+        made = {name: lambda kept, name=name: _derived(spark, sf_dir, kept["lines"])[name] for name in names}
+        made["trial_assets"] = lambda kept: assign_roles(kept["_used"], kept["arm_interventions"], kept["arms"])
+        _INDEX[where] = Kept(spark, made | {"lines": lambda _: _lines(spark, sf_dir)}, "nct_id")
+    return _INDEX[where]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their parts: nct_id, intervention_no, asset_id, arm_no, flag, quantity, p_name, p_brand, p_size."""
+    lines, part = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min(F.ascii("l_returnflag")).alias("_flag"), F.min("l_quantity").alias("quantity"))
+    lines = lines.withColumn("flag", F.char("_flag"))  # numbers aggregate by hash, strings by sort
+    lines = lines.join(part, lines.l_partkey == part.p_partkey).withColumn("nct_id", F.concat(F.lit("T"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")))
+    return lines.select(
+        "nct_id", F.col("l_linenumber").alias("intervention_no"), "l_linenumber", asset().alias("asset_id"), F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2).alias("arm_no"),
+        "flag", "quantity", "p_name", "p_brand", "p_size",
+    )
+
+
+def _derived(spark: SparkSession, sf_dir: str, lines: DataFrame) -> dict[str, DataFrame]:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,10 +66,6 @@ def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.date_sub(day, 400).alias("start_date_parsed"), F.when(F.col("o_orderkey") % 17 != 0, day).alias("completion_date_parsed"),
         F.date_add(day, (F.col("o_custkey") % 200).cast("int")).alias("last_update_date_parsed"),
     )
-    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min(F.ascii("l_returnflag")).alias("_flag"), F.min("l_quantity").alias("quantity"))
-    lines = lines.withColumn("flag", F.char("_flag"))  # numbers aggregate by hash, strings by sort
-    lines = lines.join(part, lines.l_partkey == part.p_partkey).withColumn("nct_id", F.concat(F.lit("T"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")))
-    lines = lines.withColumns({"intervention_no": F.col("l_linenumber"), "asset_id": asset(), "arm_no": F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)})
     interventions = lines.select("nct_id", "intervention_no", F.when(F.col("p_size") % 7 == 0, "DEVICE").otherwise("DRUG").alias("type"), F.col("p_name").alias("name_raw"), none.alias("description"))
     arms = lines.select("nct_id", "arm_no", F.col("flag").alias("label"), F.when(F.col("flag") == "A", "EXPERIMENTAL").when(F.col("flag") == "R", "ACTIVE_COMPARATOR").otherwise("OTHER").alias("type"), none.alias("description")).distinct()
     arm_interventions = lines.select("nct_id", "arm_no", "intervention_no", F.lit("label").alias("via"))
@@ -66,7 +92,7 @@ def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     meta = orders.agg(F.max(day).alias("d")).select(F.lit("snapshot_date").alias("key"), F.col("d").cast("string").alias("value"))
     return {
         "studies": studies, "interventions": interventions, "arms": arms, "arm_interventions": arm_interventions, "assets": assets, "asset_components": components,
-        "trial_assets": assign_roles(used, arm_interventions, arms), "trial_conditions_norm": mesh.union(listed).distinct(), "condition_areas": areas,
+        "_used": used, "trial_conditions_norm": mesh.union(listed).distinct(), "condition_areas": areas,
         "trial_sponsors_norm": leads, "companies": companies, "chembl_moa": chembl, "asset_curated_moa": curated, "asset_nlm_classes": nlm, "asset_enrichment": guess,
         "population_mentions": mentions, "build_meta": meta,
         "sponsors": leads.join(companies, "company_id").select("nct_id", "role", F.col("canonical_name").alias("name_raw"), "agency_class"),

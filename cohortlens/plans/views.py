@@ -102,12 +102,11 @@ def _developed(t: Tables) -> DataFrame:
 def programs(t: Tables) -> DataFrame:
     """(asset, condition): the most advanced phase, counts, and every trial.
 
-    The lead company of the most advanced trial is the maximum of one struct in the same aggregate, so there is no
-    ranking pass and no second join."""
+    The lead company of the most advanced trial (ties: the latest update, then the least id) is the minimum of one struct in the same
+    aggregate, so there is no ranking pass and no second join."""
     first = F.struct(
-        F.coalesce("phase_rank", F.lit(-1.0)), F.coalesce(F.datediff("last_update_date_parsed", F.lit("1900-01-01")), F.lit(-(2**31) + 1)),
-        # the least id wins a tie: order by its complement, character by character
-        F.transform(F.split("nct_id", ""), lambda c: -F.ascii(c)), F.col("lead_company_id").alias("company"),
+        -F.coalesce("phase_rank", F.lit(-1.0)), -F.coalesce(F.datediff("last_update_date_parsed", F.lit("1900-01-01")), F.lit(-(2**31) + 1)),
+        "nct_id", F.col("lead_company_id").alias("company"),
     )
     return _developed(t).groupBy("asset_id", "condition_key").agg(
         F.max("phase_rank").alias("max_phase_ever"),
@@ -118,7 +117,7 @@ def programs(t: Tables) -> DataFrame:
         F.count_if(F.col("role") == "unknown").alias("n_unknown_role_trials"),
         F.count_if("is_industry").alias("n_industry_trials"),
         F.max("last_update_date_parsed").alias("latest_activity"),
-        F.max(first)["company"].alias("lead_company_of_most_advanced"),
+        F.min(first)["company"].alias("lead_company_of_most_advanced"),
         sorted_set("nct_id").alias("nct_ids"),
     )
 
@@ -143,22 +142,22 @@ def assets(t: Tables) -> DataFrame:
 
 
 def _sponsored(t: Tables, extra: DataFrame, group: list[str], sums: dict[str, Column], on: str = "nct_id") -> DataFrame:
-    """Lead-company counts by group.  Trials are one row a group before they are counted, so counts are plain
-    sums; assets are counted in an aggregate of their own."""
+    """Lead-company counts by group.  A trial is one row a group, and then one a group and asset in development; the first of
+    these carries what is counted by trials, so one aggregate has all figures and trials are joined once."""
     spine = trials(t).where("study_type = 'INTERVENTIONAL' AND is_drug_trial").join(t["companies"].select(F.col("company_id").alias("lead_company_id"), F.col("canonical_name").alias("company_name")), "lead_company_id")
-    rows = spine.join(extra, on).withColumnsRenamed({"lead_company_id": "company_id", "lead_agency_class": "agency_class"})
+    used = t["trial_assets"].where(F.col("role").isin(DEVELOPING)).groupBy(on).agg(F.collect_set("asset_id").alias("_assets"))
+    rows = extra.join(spine, on).withColumnsRenamed({"lead_company_id": "company_id", "lead_agency_class": "agency_class"}).join(used, on, "left")
     keys = ["company_id", "company_name", "agency_class", *group]
-    one = rows.groupBy(*keys, "nct_id").agg(*[F.max(c.cast("int")).alias(n) for n, c in sums.items()], F.max("last_update_date_parsed").alias("_last"))
-    counts = one.groupBy(*keys).agg(F.count("*").alias("n_trials"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], F.max("_last").alias("latest_activity"), sorted_set("nct_id").alias("nct_ids"))
-    used = t["trial_assets"].where(F.col("role").isin(DEVELOPING)).select("nct_id", "asset_id").distinct()
-    held = rows.select(*keys, "nct_id").distinct().join(used, "nct_id").groupBy(*keys).agg(n_distinct("asset_id").alias("n_assets"))
-    same = reduce(lambda a, b: a & b, [counts[k].eqNullSafe(held[k]) for k in keys])
-    return counts.join(held, same, "left").select(*[counts[c] for c in counts.columns], F.coalesce(held["n_assets"], F.lit(0)).alias("n_assets"))
+    one = rows.select(*keys, on, "last_update_date_parsed", *[c.cast("int").alias(n) for n, c in sums.items()], F.posexplode_outer("_assets").alias("_place", "_asset"))
+    first = F.coalesce(F.col("_place"), F.lit(0)) == 0
+    return one.groupBy(*keys).agg(
+        F.count_if(first).alias("n_trials"), *[F.coalesce(F.sum(F.when(first, F.col(n))), F.lit(0)).alias(n) for n in sums],
+        F.max("last_update_date_parsed").alias("latest_activity"), sorted_set(on).alias("nct_ids"), n_distinct("_asset").alias("n_assets"))
 
 
 def sponsor_activity(t: Tables) -> DataFrame:
     areas = trial_conditions_primary(t).join(t["condition_areas"], "condition_key", "left").select(
-        "nct_id", F.coalesce("area", F.lit(UNCLASSIFIED)).alias("area"), F.coalesce("is_primary", F.lit(True)).alias("is_primary")).distinct()
+        "nct_id", F.coalesce("area", F.lit(UNCLASSIFIED)).alias("area"), F.coalesce("is_primary", F.lit(True)).alias("is_primary")).groupBy("nct_id", "area").agg(F.max("is_primary").alias("is_primary"))
     return _sponsored(t, areas, ["area"], {
         "n_active_trials": F.col("program_exists"), "n_active_readout_trials": F.col("is_active_readout"), "n_trials_primary_area": F.col("is_primary"),
         "n_phase3_plus": F.col("phase_rank") >= 3, "n_phase2": F.col("phase_rank") == 2, "n_phase1_or_earlier": F.col("phase_rank") <= 1,
@@ -228,7 +227,7 @@ def _named_combos(t: Tables) -> DataFrame:
 
 def _in_trials(t: Tables, rows: DataFrame) -> DataFrame:
     spine = trials(t).where("study_type = 'INTERVENTIONAL'").select("nct_id", "phase_norm", "phase_rank", "overall_status", "program_exists", "is_industry")
-    return rows.join(spine, "nct_id").join(surface(t), "nct_id").distinct()
+    return rows.distinct().join(spine, "nct_id").join(surface(t), "nct_id")
 
 
 def combos(t: Tables) -> DataFrame:
@@ -242,17 +241,16 @@ def combos(t: Tables) -> DataFrame:
 def combo_partners(t: Tables) -> DataFrame:
     """Ordered pairs of assets studied together.  Pairs that are both in every arm are background and go; pairs with
     a mechanism in common are flagged."""
-    a = _in_arms(t)
-    b = a.select("nct_id", "arm_no", F.col("asset_id").alias("partner_asset_id"), F.col("everywhere").alias("also"))
-    arm = a.join(b, ["nct_id", "arm_no"]).where("asset_id <> partner_asset_id AND NOT (everywhere AND also)").select("nct_id", "asset_id", "partner_asset_id", F.lit("arm").alias("source"), (F.col("everywhere") | F.col("also")).alias("has_background"))
+    one = _in_arms(t).groupBy("nct_id", "arm_no").agg(F.collect_set(F.struct("asset_id", "everywhere")).alias("all")).where(F.size("all") >= 2)
+    two = one.select("nct_id", "all", F.explode("all").alias("a")).select("nct_id", "a", F.explode("all").alias("b")).where("a.asset_id <> b.asset_id AND NOT (a.everywhere AND b.everywhere)")
+    arm = two.select("nct_id", "a.asset_id", F.col("b.asset_id").alias("partner_asset_id"), F.lit("arm").alias("source"), (F.col("a.everywhere") | F.col("b.everywhere")).alias("has_background"))
     n = _named_combos(t).where("NOT everywhere")
     other = t["asset_components"].withColumnRenamed("component_asset_id", "partner_asset_id")
     named = n.join(other, "combo_asset_id").where("component_asset_id <> partner_asset_id").select("nct_id", F.col("component_asset_id").alias("asset_id"), "partner_asset_id", F.lit("name").alias("source"), F.col("everywhere").alias("has_background"))
-    keys = t["chembl_moa"].select("asset_id", "moa_key").distinct()
-    pairs = arm.unionByName(named).distinct()
-    alike = pairs.select("asset_id", "partner_asset_id").distinct().join(keys, "asset_id").join(keys.withColumnRenamed("asset_id", "partner_asset_id"), ["partner_asset_id", "moa_key"]).select("asset_id", "partner_asset_id").distinct().withColumn("_same", F.lit(True))
-    flagged = pairs.join(alike, ["asset_id", "partner_asset_id"], "left").withColumn("same_mechanism", F.col("_same").isNotNull()).drop("_same")
-    return _in_trials(t, flagged)
+    keys = t["chembl_moa"].where("moa_key IS NOT NULL").groupBy("asset_id").agg(F.collect_set("moa_key").alias("_keys"))
+    pairs = _in_trials(t, arm.unionByName(named))
+    flagged = pairs.join(keys, "asset_id", "left").join(keys.select(F.col("asset_id").alias("partner_asset_id"), F.col("_keys").alias("_other")), "partner_asset_id", "left")
+    return flagged.withColumn("same_mechanism", F.coalesce(F.arrays_overlap("_keys", "_other"), F.lit(False))).drop("_keys", "_other")
 
 
 def population_landscape(t: Tables) -> DataFrame:
