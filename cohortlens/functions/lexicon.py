@@ -1,6 +1,6 @@
 """Word lists that the normalisers use.
 
-The defaults are small.  `Lexicon.from_folder` reads a folder of YAML or JSON files (one for each field group) with a deployment's own lists.
+The library ships none but the areas.  `Lexicon.from_folder` reads a folder of YAML or JSON files (one for each field group) with a deployment's own lists.
 """
 
 from __future__ import annotations
@@ -9,61 +9,61 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-# fixed values: words as the registry uses them, each list in natural order
-NOISE_EXACT = ["active comparator", "antibiotics", "background therapy", "best supportive care", "blank control", "chemotherapy", "comparator", "control", "control group", "conventional therapy", "dummy", "experimental drug",
-               "immunotherapy", "n/a", "no intervention", "no treatment", "none", "normal saline", "not applicable", "observation", "radiation", "radiotherapy", "saline", "soc", "standard chemotherapy", "standard of care", "standard therapy",
-               "study drug", "study medication", "sugar pill", "surgery", "test drug", "usual care", "vehicle", "water"]
-NOISE_STARTS = ["dummy", "inactive", "matched placebo", "matching placebo", "placebo", "placebos", "sham", "vehicle"]
-NOISE_CONTAINS = ["biopsy", "blood draw", "blood sample", "dose escalation", "dose expansion", "group:", "primary outcome", "questionnaire", "regimen", "secondary outcome", "see below"]
-NOISE_REGEX = [r"(treatment|arm|group|cohort|drug|dose) ?[a-d0-9]", r"(low|high|medium|mid|standard) dose", r".*\((placebo|sham)\).*", r"[a-z0-9]+[- ]based( .*)?",
-               r".* (inhibitors?|antagonists?|agonists?|therapy|therapies|agents?|analogs?|analogues?|blockers?|modulators?)", r"(standard|usual|best|conventional) (of )?(care|treatment|therapy)( .*)?"]
-SALTS = ["acetate", "besylate", "bromide", "calcium", "chloride", "citrate", "dihydrate", "dihydrochloride", "disodium", "fumarate", "hcl", "hydrobromide", "hydrochloride", "lactate", "magnesium", "maleate", "mesilate", "mesylate",
-         "monohydrate", "nitrate", "phosphate", "potassium", "propionate", "sodium", "succinate", "sulfate", "sulphate", "tartrate", "tosylate"]
-DOSE_FORMS = ["capsule", "capsules", "chewing gum", "cream", "drops", "er", "extended release", "extended-release", "eye drops", "film-coated", "for injection", "gel", "gum", "infusion", "inhalation", "inhaler", "injectable", "injection",
-              "injections", "intramuscular", "intravenous", "iv", "lotion", "lozenge", "nasal", "ointment", "oral", "patch", "powder", "sc", "solution", "spray", "subcutaneous", "suspension", "tablet", "tablets", "topical", "xl", "xr"]
-DEVICES = ["auto-injector", "autoinjector", "cartridge", "depot", "kit", "pack", "pen", "pens", "pfs", "pre-filled", "prefilled", "syringe", "vial", "vials"]
-CATIONS = ["aluminium", "aluminum", "ammonium", "calcium", "copper", "ferric", "ferrous", "iron", "lithium", "magnesium", "potassium", "sodium", "zinc"]
-QUALIFIERS = ["adjuvant", "adjunctive", "combined", "concurrent", "experimental", "fixed dose", "generic", "high dose", "high-dose", "immunotherapy", "inhaled", "intramuscular", "intranasal", "intravenous", "iv", "low dose", "low-dose", "maintenance",
-              "nebulized", "neoadjuvant", "oral", "rectal", "sc", "single dose", "standard dose", "subcutaneous", "sublingual", "therapy", "topical", "transdermal", "treatment"]
-LEGAL_FORMS = ["ab", "ag", "as", "bv", "co", "company", "corp", "corporation", "gmbh", "group", "holding", "holdings", "inc", "incorporated", "kg", "kgaa", "kk", "limited", "llc", "llp", "lp", "ltd", "nv", "oy", "plc", "pte", "pty", "s a", "sa", "sas",
-               "se", "spa", "srl"]
-INDUSTRY_WORDS = ["australia", "biopharma", "biopharmaceuticals", "biosciences", "biotech", "biotechnology", "canada", "china", "europe", "global", "india", "international", "japan", "korea", "laboratories", "labs", "life sciences", "pharma",
-                  "pharmaceutical", "pharmaceuticals", "therapeutics", "uk", "us", "usa", "worldwide"]
-LOOKUP_WORDS = ["development", "healthcare", "medical", "oncology", "r d", "research", "research and development", "services", "vaccines"]
-PARENT_PATTERNS = [r"^(.+?),?\s+(?:is\s+)?now\s+(?:a\s+)?(?:wholly[- ]owned\s+)?(?:subsidiary|part|division)\s+of\s+(.+)$", r"^(.+?),\s+(?:an?\s+)?(?:wholly[- ]owned\s+)?(?:subsidiary|affiliate|division|unit)\s+of\s+(.+)$",
-                   r"^(.+?),\s+an?\s+(.+?)\s+(?:company|group|subsidiary|affiliate|division)$"]
-COMPANY_GROUPS = {"GSK": ["glaxosmithkline", "gsk", "glaxo wellcome"], "Johnson & Johnson (Janssen)": ["johnson johnson", "janssen", "janssen cilag", "actelion"], "Merck & Co. (MSD)": ["merck sharp dohme", "msd", "merck"], "Merck KGaA (EMD Serono)": ["merck kgaa darmstadt germany", "emd serono"]}
-AREAS = [("Neoplasms", "Oncology"), ("Cardiovascular Diseases", "Cardiovascular"), ("Nervous System Diseases", "Neurology"), ("Mental Disorders", "Psychiatry"), ("Respiratory Tract Diseases", "Respiratory"),
-         ("Digestive System Diseases", "Gastroenterology & Hepatology"), ("Immune System Diseases", "Immunology"), ("Musculoskeletal Diseases", "Musculoskeletal & Rheumatology"), ("Skin and Connective Tissue Diseases", "Dermatology"),
-         ("Endocrine System Diseases", "Endocrinology"), ("Nutritional and Metabolic Diseases", "Metabolic"), ("Hemic and Lymphatic Diseases", "Hematology"), ("Eye Diseases", "Ophthalmology"), ("Infections", "Infectious Disease")]
-POPULATIONS = [("her2_positive", "biomarker", [r"\bher-?2[- ]?(?:positive|\+)", r"\berbb2\b"]), ("egfr_mutant", "biomarker", [r"\begfr\b.{0,20}\bmutat"]), ("pediatric", "demographic", [r"\bp(?:a)?ediatric\b", r"\bchildren\b"]),
-               ("elderly", "demographic", [r"\belderly\b", r"\bolder adults\b"]), ("severe", "disease_severity", [r"\bsevere\b"]), ("treatment_naive", "prior_therapy", [r"\btreatment[- ]na[iï]ve\b"]),
-               ("first_line", "line_of_therapy", [r"\bfirst[- ]line\b"]), ("metastatic", "disease_stage", [r"\bmetastatic\b"])]
+# fixed values: headings and their areas, by priority; headings that count for nothing
+AREAS = [
+    ("Neoplasms", "Oncology"),
+    ("Cardiovascular Diseases", "Cardiovascular"),
+    ("Nervous System Diseases", "Neurology"),
+    ("Mental Disorders", "Psychiatry"),
+    ("Respiratory Tract Diseases", "Respiratory"),
+    ("Digestive System Diseases", "Gastroenterology & Hepatology"),
+    ("Immune System Diseases", "Immunology"),
+    ("Musculoskeletal Diseases", "Musculoskeletal & Rheumatology"),
+    ("Skin and Connective Tissue Diseases", "Dermatology"),
+    ("Endocrine System Diseases", "Endocrinology"),
+    ("Nutritional and Metabolic Diseases", "Metabolic"),
+    ("Hemic and Lymphatic Diseases", "Hematology"),
+    ("Eye Diseases", "Ophthalmology"),
+    ("Urogenital Diseases", "Urology, Nephrology & Women's Health"),
+    ("Male Urogenital Diseases", "Urology, Nephrology & Women's Health"),
+    ("Female Urogenital Diseases and Pregnancy Complications", "Urology, Nephrology & Women's Health"),
+    ("Congenital, Hereditary, and Neonatal Diseases and Abnormalities", "Genetic & Congenital"),
+    ("Otorhinolaryngologic Diseases", "ENT"),
+    ("Stomatognathic Diseases", "Dental & Oral"),
+    ("Infections", "Infectious Disease"),
+    ("Wounds and Injuries", "Trauma"),
+    ("Chemically-Induced Disorders", "Toxicology"),
+    ("Occupational Diseases", "Environmental & Occupational"),
+    ("Disorders of Environmental Origin", "Environmental & Occupational"),
+    ("Pathological Conditions, Signs and Symptoms", "Signs & Symptoms (cross-cutting)"),
+]
+EXCLUDED_HEADINGS = ["Animal Diseases"]
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    noise_exact: list[str] = field(default_factory=lambda: NOISE_EXACT)
-    noise_starts: list[str] = field(default_factory=lambda: NOISE_STARTS)
-    noise_contains: list[str] = field(default_factory=lambda: NOISE_CONTAINS)
-    noise_regex: list[str] = field(default_factory=lambda: NOISE_REGEX)
-    salts: list[str] = field(default_factory=lambda: SALTS)
-    dose_forms: list[str] = field(default_factory=lambda: DOSE_FORMS)
-    devices: list[str] = field(default_factory=lambda: DEVICES)
-    cations: list[str] = field(default_factory=lambda: CATIONS)
-    qualifiers: list[str] = field(default_factory=lambda: QUALIFIERS)
-    legal_forms: list[str] = field(default_factory=lambda: LEGAL_FORMS)
-    industry_words: list[str] = field(default_factory=lambda: INDUSTRY_WORDS)
-    lookup_words: list[str] = field(default_factory=lambda: LOOKUP_WORDS)
-    parent_patterns: list[str] = field(default_factory=lambda: PARENT_PATTERNS)
-    company_groups: dict[str, list[str]] = field(default_factory=lambda: COMPANY_GROUPS)
+    noise_exact: list[str] = field(default_factory=list)
+    noise_starts: list[str] = field(default_factory=list)
+    noise_contains: list[str] = field(default_factory=list)
+    noise_regex: list[str] = field(default_factory=list)
+    salts: list[str] = field(default_factory=list)
+    dose_forms: list[str] = field(default_factory=list)
+    devices: list[str] = field(default_factory=list)
+    cations: list[str] = field(default_factory=list)
+    qualifiers: list[str] = field(default_factory=list)
+    legal_forms: list[str] = field(default_factory=list)
+    industry_words: list[str] = field(default_factory=list)
+    lookup_words: list[str] = field(default_factory=list)
+    parent_patterns: list[str] = field(default_factory=list)
+    company_groups: dict[str, list[str]] = field(default_factory=dict)
     areas: list[tuple[str, str]] = field(default_factory=lambda: AREAS)
-    populations: list[tuple[str, str, list[str]]] = field(default_factory=lambda: POPULATIONS)
+    excluded_headings: list[str] = field(default_factory=lambda: EXCLUDED_HEADINGS)
+    populations: list[tuple[str, str, list[str]]] = field(default_factory=list)
     synonyms: list[list[str]] = field(default_factory=list)
 
     @classmethod
     def from_folder(cls, folder: str) -> Lexicon:
-        """Fields that a folder's files give; defaults for the rest."""
+        """Fields that a folder's files give; empty lists for the rest."""
         from cohortlens.sources.records import load_lexicon
 
         files: dict[str, dict[str, Any]] = {p.stem: load_lexicon(str(p)) for p in sorted(Path(folder).iterdir()) if p.suffix in (".yaml", ".yml", ".json")}
@@ -71,11 +71,11 @@ class Lexicon:
             "noise_exact": ("noise_names", "exact"), "noise_starts": ("noise_names", "starts_with"), "noise_contains": ("noise_names", "contains"), "noise_regex": ("noise_names", "regex"),
             "salts": ("salt_dose_suffixes", "salts"), "dose_forms": ("salt_dose_suffixes", "dose_forms"), "devices": ("salt_dose_suffixes", "device_pack"), "cations": ("salt_dose_suffixes", "electrolyte_cations"),
             "qualifiers": ("qualifiers", "leading"), "legal_forms": ("company_suffixes", "legal_forms"), "industry_words": ("company_suffixes", "industry_words"), "lookup_words": ("company_suffixes", "alias_lookup_words"),
-            "parent_patterns": ("company_suffixes", "declared_parent_patterns"),
+            "excluded_headings": ("mesh_areas", "excluded_headings"), "parent_patterns": ("company_suffixes", "declared_parent_patterns"),
         }
         found: dict[str, Any] = {f: files[name][key] for f, (name, key) in at.items() if key in files.get(name, {})}
         if labels := files.get("non_molecule", {}).get("class_labels"):
-            found["noise_exact"] = [*found.get("noise_exact", NOISE_EXACT), *labels]
+            found["noise_exact"] = [*found.get("noise_exact", []), *labels]
         shapes = {
             "company_groups": ("company_aliases", "groups", lambda v: {g["canonical"]: g["members"] for g in v}),
             "areas": ("mesh_areas", "areas", lambda v: [(a["heading"], a["area"]) for a in v]),

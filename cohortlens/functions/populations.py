@@ -26,7 +26,7 @@ def _any(patterns: Sequence[str]) -> str:
 def terms_in(text: Column, lexicon: Lexicon) -> Column:
     """array<struct<term_id, kind>> of the terms that occur."""
     hit = lambda term, kind, ps: F.when(text.rlike(_any(ps)), F.struct(F.lit(term).alias("term_id"), F.lit(kind).alias("kind")))
-    return F.array_compact(F.array(*[hit(*e) for e in lexicon]))
+    return F.array_compact(F.array(*[hit(*e) for e in lexicon]).cast("array<struct<term_id: string, kind: string>>"))
 
 
 def term_hits(rows: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
@@ -42,6 +42,6 @@ def mentions(studies: DataFrame, surfaces: Mapping[str, Column], lexicon: Lexico
         hits = studies.select(key, text.alias("_t")).where(F.col("_t").isNotNull())
         line = lambda ps: F.substring(F.trim(F.get(F.filter(F.split("_t", "\n"), lambda x: x.rlike(_any(ps))), F.lit(0))), 1, EVIDENCE_CHARS)
         found = [F.when(F.col("_t").rlike(_any(ps)), F.struct(F.lit(term).alias("term_id"), F.lit(kind).alias("kind"), line(ps).alias("evidence_line"))) for term, kind, ps in lexicon]
-        return hits.select(key, F.inline(F.array_compact(F.array(*found)))).withColumn("surface", F.lit(name))
+        return hits.select(key, F.inline(F.array_compact(F.array(*found).cast("array<struct<term_id: string, kind: string, evidence_line: string>>")))).withColumn("surface", F.lit(name))
 
     return reduce(DataFrame.unionByName, [one(n, c) for n, c in surfaces.items()])

@@ -27,7 +27,7 @@ def match_vocabulary(assets: DataFrame, aliases: DataFrame, molecules: DataFrame
     sure = n.where("signatures = 1").select("asset_id")
     edges = reach.join(sure, "asset_id").join(mechanisms, "molecule_id").withColumn("edge_key", edge_key(F.col("asset_id"), F.col("target_symbols"), F.col("target"), F.col("action_type")))
     edges = edges.groupBy("edge_key").agg(F.min(F.struct("asset_id", "molecule_id", "mechanism_of_action", "action_type", "target_symbols")).alias("e")).select("edge_key", "e.*")
-    return {"chembl_moa": folds.applied(edges, "mechanism_of_action", "moa_key", folds.mechanism_key), "asset_chembl": reach.join(sure, "asset_id"), "ambiguous": n.where("signatures > 1")}
+    return {"chembl_moa": edges.withColumn("moa_key", folds.mechanism_key(F.col("mechanism_of_action"))), "asset_chembl": reach.join(sure, "asset_id"), "ambiguous": n.where("signatures > 1")}
 
 
 def target_vocabulary(*sources: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def load_curated(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     tried = entries.select("*", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "surface")).withColumn("alias_key", alias_key(F.col("surface")))
     first = tried.join(aliases.select("alias_key", "asset_id"), "alias_key").groupBy("name").agg(F.min(F.struct("at", "asset_id"))["asset_id"].alias("asset_id"))
     rows = entries.join(first, "name").select("asset_id", F.col("moa").alias("moa_label"), "action", F.col("targets").alias("target_symbols"), "modality")
-    return folds.applied(rows, "moa_label", "moa_key", folds.mechanism_key)
+    return rows.withColumn("moa_key", folds.mechanism_key(F.col("moa_label")))
 
 
 def load_model_answers(records: DataFrame, assets: DataFrame, targets: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def load_model_answers(records: DataFrame, assets: DataFrame, targets: DataFrame
     said = last.select("asset_id", F.explode("targets_raw").alias("alias")).withColumn("alias_key", alias_key(F.col("alias"))).join(targets, "alias_key").groupBy("asset_id").agg(F.array_sort(F.collect_set("symbol")).alias("targets_canonical"))
     rows = last.join(said, "asset_id", "left").withColumn("targets_canonical", F.coalesce("targets_canonical", F.array().cast("array<string>")))
     label = F.when(F.size("targets_canonical") > 0, F.array_join("targets_canonical", " ")).otherwise(F.coalesce("moa_class", F.lit("")))
-    return folds.applied(rows.withColumn("_label", label), "_label", "moa_key", folds.mechanism_key).drop("_label")
+    return rows.withColumn("moa_key", folds.mechanism_key(label))
 
 
 def plan_enrichment(t: Tables, input_tokens: int, output_tokens: int, input_price: float, output_price: float, ceiling: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Raw tables to entities and edges: assets, conditions, companies, populations, drug classes.
 
-Every step is a DataFrame; text rules run once for each distinct value.  The driver keeps counters and one bounded vocabulary
-(single-word asset keys), and loops only to merge alias clusters to their fixpoint.
+Every step is a DataFrame; text rules run once for each distinct value.  The driver keeps counters, and loops only to merge alias clusters to
+their fixpoint.
 """
 
 from __future__ import annotations
@@ -10,21 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import folds, names, populations
+from cohortlens.functions.fixed import CLASS_HINT
 from cohortlens.functions.lexicon import Lexicon
+from cohortlens.functions.scalars import is_code_name
 from cohortlens.operators import resolution
 from cohortlens.operators.ranking import mode, set_rollup
 from cohortlens.operators.roles import assign_roles
 
 from .views import DRUG_TYPES, UNCLASSIFIED, Tables
 
-VOCABULARY = 500_000  # single-word keys that may make a regimen, at most
 
-
-def known_words(interventions: DataFrame, lexicon: Lexicon) -> list[str]:
-    """Keys of one-word names in at least two trials."""
-    first = names.routed(interventions, lexicon).where("key IS NOT NULL AND NOT is_combo AND NOT contains(trim(cleaned), ' ')").select("name_raw", "key")
-    support = interventions.join(first, "name_raw").groupBy("key").agg(F.count_distinct("nct_id").alias("n")).where("n >= 2")
-    return [r.key for r in support.orderBy(F.desc("n"), "key").limit(VOCABULARY).collect()]
+def known_words(first: DataFrame, interventions: DataFrame) -> DataFrame:
+    """key: keys of one-word names in at least two trials.  first: the names, routed."""
+    single = first.where("key IS NOT NULL AND NOT is_combo AND NOT contains(trim(cleaned), ' ')").select("name_raw", "key")
+    return interventions.join(single, "name_raw").groupBy("key").agg(F.count_distinct("nct_id").alias("n")).where("n >= 2").select("key")
 
 
 def alias_claims(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -44,11 +43,10 @@ def alias_claims(rows: DataFrame, other: DataFrame) -> DataFrame:
 def normalize_assets(t: Tables, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
     lexicon = lexicon or Lexicon()
     used = t["interventions"].where(F.col("type").isin(DRUG_TYPES)).select("nct_id", "intervention_no", "name_raw")
-    routed = resolution.checkpointed(names.routed(used, lexicon, known_words(used, lexicon)))
+    routed = resolution.checkpointed(names.routed(used, lexicon, known_words(names.routed(used, lexicon), used)))
     rows = used.join(routed, "name_raw")
-    code = F.udf(names.is_code_name, "boolean")
     other = t["intervention_other_names"].withColumnRenamed("other_name_raw", "name_raw")
-    others = names.routed(other, lexicon).select("name_raw", F.col("key").alias("alias"), F.col("is_combo").alias("alias_combo"), F.col("cleaned").alias("alias_cleaned"), F.col("display").alias("alias_display"), code("name_raw").alias("code"))
+    others = names.routed(other, lexicon).select("name_raw", F.col("key").alias("alias"), F.col("is_combo").alias("alias_combo"), F.col("cleaned").alias("alias_cleaned"), F.col("display").alias("alias_display"), is_code_name(F.col("name_raw")).alias("code"))
     claims = resolution.checkpointed(alias_claims(rows, other.join(others, "name_raw")))
 
     # clusters: every component key is a vertex; curated synonyms are united first
@@ -64,7 +62,7 @@ def normalize_assets(t: Tables, lexicon: Lexicon | None = None) -> dict[str, Dat
     # the canonical surface of a cluster: no code, not all capitals, frequent, in many trials, short, then last by name
     named = parts.join(roots.withColumnRenamed("id", "key"), "key")
     trials = parts.groupBy("key").agg(F.count_distinct("nct_id").alias("n_key"))
-    surfaces = named.groupBy("root", "key", "surface").agg(F.count("*").alias("n")).join(trials, "key").withColumn("code", code("surface"))
+    surfaces = named.groupBy("root", "key", "surface").agg(F.count("*").alias("n")).join(trials, "key").withColumn("code", is_code_name(F.col("surface")))
     best = surfaces.groupBy("root").agg(F.max(F.struct(~F.col("code"), F.col("surface") != F.upper("surface"), F.col("n"), F.col("n_key"), (-F.length("surface")).alias("short"), F.col("surface").alias("name"), F.col("key").alias("asset_id"), F.col("code").alias("is_code"))).alias("b"))
     best = best.select("root", F.when(F.col("b.is_code"), F.upper("b.name")).otherwise(F.col("b.name")).alias("canonical_name"), F.col("b.asset_id").alias("asset_id"))
     lone = roots.join(best.select("root"), "root", "left_anti").groupBy("root").agg(F.min("id").alias("asset_id")).select("root", F.col("asset_id").alias("canonical_name"), "asset_id")
@@ -115,7 +113,8 @@ def normalize_assets(t: Tables, lexicon: Lexicon | None = None) -> dict[str, Dat
 def normalize_conditions(t: Tables, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:
     lexicon = lexicon or Lexicon()
     listed = t["study_conditions"].where("name_raw IS NOT NULL").select("nct_id", F.trim("name_raw").alias("name_raw"))
-    listed = folds.applied(listed, "name_raw", "folded", folds.fold_condition).withColumn("reason", folds.denoise_reason(F.col("folded")))
+    folded = listed.select("name_raw").distinct().withColumn("folded", folds.fold_condition(F.col("name_raw")))
+    listed = listed.join(folded, "name_raw").withColumn("reason", folds.denoise_reason(F.col("folded")))
     kept = listed.where("reason IS NULL")
     shown = mode(kept, ["folded"], "name_raw").select("folded", F.col("name_raw").alias("display_name"))
     leaves = t["mesh_terms"].where("module = 'condition' AND kind = 'mesh' AND mesh_id IS NOT NULL").select("nct_id", "mesh_id", "term").distinct()
@@ -125,7 +124,7 @@ def normalize_conditions(t: Tables, lexicon: Lexicon | None = None) -> dict[str,
     alone = leaves.groupBy("nct_id").agg((F.count_distinct("mesh_id") == 1).alias("solo"))
     above = t["mesh_terms"].where("module = 'condition' AND kind = 'ancestor'").select("nct_id", F.col("term").alias("heading")).distinct()
     headings = set_rollup(leaves.join(alone, "nct_id").join(above, "nct_id", "left").select("mesh_id", "nct_id", "solo", "heading"), "mesh_id", "nct_id", "heading", "solo").where("heading IS NOT NULL").union(leaves.select("mesh_id", "term")).distinct()
-    rules = F.broadcast(t["mesh_terms"].sparkSession.createDataFrame([(h, a, i) for i, (h, a) in enumerate(lexicon.areas)], "heading string, area string, place int"))
+    rules = F.broadcast(t["mesh_terms"].sparkSession.createDataFrame([(h, a, i) for i, (h, a) in enumerate(lexicon.areas) if h not in lexicon.excluded_headings], "heading string, area string, place int"))
     hits = headings.join(rules, "heading").groupBy("mesh_id", "area").agg(F.min("place").alias("place"))
     areas = hits.select(F.col("mesh_id").alias("condition_key"), "area", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("place")) == 1).alias("is_primary"))
     bare = norm.select("condition_key").distinct().join(areas.select("condition_key").distinct(), "condition_key", "left_anti")
@@ -152,17 +151,14 @@ def normalize_populations(t: Tables, lexicon: Lexicon | None = None) -> dict[str
     return {"population_mentions": populations.mentions(studies, surfaces, lexicon.populations), "population_terms": terms}
 
 
-CLASS_HINT = r"(?i)agents?\b|inhibitors?|antagonists?|agonists?|blockers?|modulators?|antibod|anti-|antineoplastic|analgesic|antibiotic|antiviral|enzyme|hormone|vaccine|immunosuppress|steroid|receptor|kinase"
-
-
 def normalize_drug_classes(t: Tables, aliases: DataFrame, trial_assets: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """asset_id, class_term, mesh_id, n_trials, moa_key: class terms above the leaf of the only matched asset of a trial."""
     terms = t["mesh_terms"].where("module = 'intervention' AND term IS NOT NULL").select("nct_id", "kind", "mesh_id", F.col("term").alias("name_raw"))
     key = names.routed(terms.where("kind = 'mesh'"), lexicon).where("key IS NOT NULL").select("name_raw", F.col("key").alias("alias_key"))
     matched = terms.where("kind = 'mesh'").join(key, "name_raw").join(aliases.select("alias_key", "asset_id"), "alias_key").join(trial_assets.where("via = 'name'").select("nct_id", "asset_id").distinct(), ["nct_id", "asset_id"])
     one = matched.groupBy("nct_id").agg(F.count_distinct("asset_id").alias("n"), F.min("asset_id").alias("asset_id")).where("n = 1").drop("n")
-    classes = terms.where("kind = 'ancestor'").where(F.col("name_raw").rlike(CLASS_HINT)).join(one, "nct_id").groupBy("asset_id", F.col("name_raw").alias("class_term"), "mesh_id").agg(F.count_distinct("nct_id").cast("int").alias("n_trials"))
-    return folds.applied(classes, "class_term", "moa_key", folds.mechanism_key)
+    classes = terms.where("kind = 'ancestor'").where(F.col("name_raw").rlike(f"(?i){CLASS_HINT}")).join(one, "nct_id").groupBy("asset_id", F.col("name_raw").alias("class_term"), "mesh_id").agg(F.count_distinct("nct_id").cast("int").alias("n_trials"))
+    return classes.withColumn("moa_key", folds.mechanism_key(F.col("class_term")))
 
 
 def normalize(t: Tables, lexicon: Lexicon | None = None) -> dict[str, DataFrame]:

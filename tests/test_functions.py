@@ -1,12 +1,15 @@
 """Scalar rules on tables of inputs."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import folds, names, populations, scalars
 from cohortlens.functions.lexicon import Lexicon
 
-ROUTER = names.Router()
+LEXICON = Lexicon.from_folder(str(Path(__file__).parent / "lexicon"))
+ROUTER = names.Router(LEXICON)
 
 
 @pytest.mark.parametrize(
@@ -41,12 +44,13 @@ def test_regimen_needs_known_words():
 
 def test_routed_runs_once_for_each_name(spark):
     df = spark.createDataFrame([("Aspirin 5 mg",), ("Aspirin 5 mg",), ("Placebo",)], "name_raw string")
-    assert {(r.name_raw, r.key) for r in names.routed(df).collect()} == {("Aspirin 5 mg", "aspirin"), ("Placebo", None)}
+    assert {(r.name_raw, r.key) for r in names.routed(df, LEXICON).collect()} == {("Aspirin 5 mg", "aspirin"), ("Placebo", None)}
 
 
 @pytest.mark.parametrize(("raw", "folded"), [("Crohn’s Disease (CD) [x]", "crohn disease"), ("• Diabetes of the Type-2", "diabetes type 2"), ("(only)", "only"), ("Ménière", "meniere"), (None, "")])
-def test_fold_condition(raw, folded):
-    assert folds.fold_condition(raw) == folded
+def test_fold_condition(spark, raw, folded):
+    df = spark.createDataFrame([(raw,)], "s string").select(folds.fold_condition(F.col("s")).alias("f"))
+    assert df.first().f == folded
 
 
 def test_denoise(spark):
@@ -60,12 +64,39 @@ def test_denoise(spark):
     [("Acme Pharmaceuticals, Inc.", "acme"), ("ACME Ltd", "acme"), ("Genzyme, a Sanofi Company", "sanofi"), ("Janssen Research & Development", "johnson johnson janssen"), ("Merck KGaA, Darmstadt, Germany", "merck kgaa emd serono"), ("Merck", "merck co msd"), ("", "unknown"), ("Inc", "inc"), ("Cancer Research UK", "cancer research")],
 )
 def test_company_keys(raw, key):
-    assert folds.Companies().key(raw) == key
+    assert folds.Companies(LEXICON).key(raw) == key
 
 
 @pytest.mark.parametrize(("text", "key"), [("anti-CD20 antibody", "cd20"), ("CD20 inhibitor", "cd20"), ("JAK1/2 inhibitor", "jak1|jak2"), ("antithrombin", "antithrombin"), ("", ""), (None, "")])
-def test_mechanism_keys(text, key):
-    assert folds.mechanism_key(text) == key
+def test_mechanism_keys(spark, text, key):
+    df = spark.createDataFrame([(text,)], "s string").select(folds.mechanism_key(F.col("s")).alias("k"))
+    assert df.first().k == key
+
+
+def test_regimens_by_a_join(spark):
+    df = spark.createDataFrame([("Lenalidomide Dexamethasone",), ("Insulin glargine",), ("Sodium chloride",), ("Abiraterone Acetate",), ("dexamethasone lenalidomide dexamethasone",), ("Cisplatin Unheardof",)], "name_raw string")
+    known = spark.createDataFrame([(k,) for k in ("lenalidomide", "dexamethasone", "insulin", "glargine", "sodium", "chloride", "abiraterone", "acetate", "cisplatin")], "key string")
+    got = {r.name_raw: (r.key, r.route, [p.surface for p in r.parts]) for r in names.routed(df, LEXICON, known).collect()}
+    both = ("dexamethasone+lenalidomide", "combo_regimen", ["dexamethasone", "lenalidomide"])
+    assert got["Lenalidomide Dexamethasone"] == got["dexamethasone lenalidomide dexamethasone"] == both
+    assert {k: v[0] for k, v in got.items() if v != both} == {"Insulin glargine": "insulinglargine", "Sodium chloride": "sodiumchloride", "Abiraterone Acetate": "abiraterone", "Cisplatin Unheardof": "cisplatinunheardof"}
+
+
+@pytest.mark.parametrize(
+    ("raw", "key"),
+    [
+        ("Vamorolone 6.0 mg/day/day", "vamorolone"), ("Decitabine 20 mg/m²/day for 5 days", "decitabine"), ("Estradiol 0.1 mg/24 hrs", "estradiol"), ("SHR-1701、", "shr1701"), ("SHR-1701、CAPOX", "capox+shr1701"), ("3 cycles of Pembrolizumab", "ofpembrolizumab"),
+        ("Aripiprazole depot 25 or 50 mg", "aripiprazole"), ("Trastuzumab deruxtecan", "trastuzumabderuxtecan"), ("Enfortumab vedotin-ejfv", "enfortumabvedotinejfv"), ("Lidocaine 2.5 % w/w", "lidocaine"), ("Ketamine administered as an infusion over 40 min", "ketamine"),
+        ("Linperlisib in combination with CHOP", "chop+linperlisib"), ("Epoetin alfa injection", "epoetinalfa"),
+    ],
+)
+def test_cleaning(raw, key):
+    assert ROUTER.route(raw).key == key
+
+
+def test_without_word_lists_only_patterns_work():
+    bare = names.Router()
+    assert bare.route("Drug: Aspirin 5 mg").key == "aspirin" and bare.route("oral aspirin").key == "oralaspirin" and bare.route("12").reason == "too_short"
 
 
 def test_dates(spark):
@@ -87,12 +118,13 @@ def test_scalars(spark):
 
 def test_mentions(spark):
     df = spark.createDataFrame([("N1", "First-line in children", "line one\nHER2 positive tumours\nmore"), ("N2", None, None)], "nct_id string, title string, elig string")
-    got = {(r.nct_id, r.term_id, r.surface, r.evidence_line) for r in populations.mentions(df, {"title": F.col("title"), "eligibility": F.col("elig")}, Lexicon().populations).collect()}
+    got = {(r.nct_id, r.term_id, r.surface, r.evidence_line) for r in populations.mentions(df, {"title": F.col("title"), "eligibility": F.col("elig")}, LEXICON.populations).collect()}
     assert got == {("N1", "first_line", "title", "First-line in children"), ("N1", "pediatric", "title", "First-line in children"), ("N1", "her2_positive", "eligibility", "HER2 positive tumours")}
 
 
 def test_lexicon_from_folder(tmp_path):
     (tmp_path / "company_aliases.json").write_text('{"groups": [{"canonical": "Big Co", "members": ["little"]}]}')
+    (tmp_path / "company_suffixes.json").write_text('{"legal_forms": ["inc"]}')
     (tmp_path / "qualifiers.yaml").write_text("leading:\n  - shiny\n")
     x = Lexicon.from_folder(str(tmp_path))
     assert folds.Companies(x).key("Little Inc") == "big" or folds.Companies(x).key("Little Inc") == "big co"

@@ -1,6 +1,7 @@
 """Documents to raw tables to entities to views."""
 
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def raw(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def tables(spark, raw, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("all"))
-    full = normalize.normalize(raw, Lexicon())
+    full = normalize.normalize(raw, Lexicon.from_folder(str(Path(__file__).parent / "lexicon")))
     full["build_meta"] = registry.snapshot_date(raw["studies"])
     empty = spark.createDataFrame
     full["chembl_moa"] = empty([("petinib", "Kinase P inhibitor", "INHIBITOR", ["PK1"], "p"), ("docetaxel", "Tubulin inhibitor", "INHIBITOR", ["TUB"], "tubulin")], "asset_id string, mechanism_of_action string, action_type string, target_symbols array<string>, moa_key string")
