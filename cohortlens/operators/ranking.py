@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolution import checkpointed
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first k rows of each group.  Spark limits groups before the shuffle when it sees the filter on the rank."""
@@ -36,8 +38,9 @@ def budget_prefix(df: DataFrame, order: Sequence[Column | str], cost: str, ceili
     """Rows, in order, whose running cost stays within the ceiling, with `spent`.
 
     Running sums are distributed: rows are sorted by range, each partition is summed, and a partition's start
-    is the sum of those before it (one row a partition)."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    is the sum of those before it (one row a partition).  The ranges are sampled, so rows are checkpointed with their partition's number: sums and
+    rows then speak of the same partitions, whatever is computed again."""
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     starts = parts.groupBy("_part").agg(F.sum(cost).alias("_sum"))
     starts = starts.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -46,9 +49,13 @@ def budget_prefix(df: DataFrame, order: Sequence[Column | str], cost: str, ceili
 
 
 def running_set(df: DataFrame, key: str, order: str, values: str) -> DataFrame:
-    """Union of the arrays of all rows of the key up to this one, sorted, as `seen`."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("seen", F.array_sort(F.array_distinct(F.flatten(F.collect_list(values).over(w)))))
+    """Union of the arrays of all rows of the key up to this one, sorted, as `seen`.
+
+    A value counts where it comes first, so what is gathered over a key holds each of its values once."""
+    new = df.select(key, order, F.explode(values).alias("_v")).groupBy(key, "_v").agg(F.min(order).alias(order)).groupBy(key, order).agg(F.collect_list("_v").alias("_new"))
+    w = Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    rows = df.join(new, [key, order], "left")
+    return rows.withColumn("seen", F.array_sort(F.array_distinct(F.flatten(F.collect_list("_new").over(w))))).drop("_new")
 
 
 def set_rollup(df: DataFrame, group: str, member: str, values: str, solo: str) -> DataFrame:

@@ -62,18 +62,10 @@ def start_year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sponsor_phase_matrix", """
-SELECT lead_company_id, count(*) FILTER (phase_norm = 'PHASE1') AS PHASE1, count(*) FILTER (phase_norm = 'PHASE2') AS PHASE2, count(*) FILTER (phase_norm = 'PHASE3') AS PHASE3, count(*) FILTER (phase_norm = 'PHASE4') AS PHASE4
-FROM spine WHERE lead_company_id IS NOT NULL GROUP BY ALL""")
-def sponsor_phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = views.trials(registry(spark, sf_dir)).where("lead_company_id IS NOT NULL")
-    return facets.matrix(t, "lead_company_id", "phase_norm", ["PHASE1", "PHASE2", "PHASE3", "PHASE4"], F.count(F.lit(1)))
-
-
-@query("sponsor_phase_matrix_all", """
 SELECT lead_company_id, count(*) FILTER (phase_norm = 'EARLY_PHASE1') AS EARLY_PHASE1, count(*) FILTER (phase_norm = 'PHASE1') AS PHASE1, count(*) FILTER (phase_norm = 'PHASE2') AS PHASE2, count(*) FILTER (phase_norm = 'PHASE3') AS PHASE3,
        count(*) FILTER (phase_norm = 'PHASE4') AS PHASE4, count(*) FILTER (phase_norm = 'NA') AS NA, count(*) FILTER (phase_norm IS NULL) AS unknown
 FROM spine WHERE lead_company_id IS NOT NULL GROUP BY ALL""")
-def sponsor_phase_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sponsor_phase_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sponsor_phase_matrix(registry(spark, sf_dir))
 
 
@@ -83,38 +75,10 @@ def sponsor_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.chart(views.trials(registry(spark, sf_dir)).where("lead_company_id IS NOT NULL AND is_industry"), "lead_company_id", top=10)
 
 
-@query("condition_landscape", """
-, p AS (SELECT asset_id, max(phase_rank) AS m FROM dev WHERE condition_key = 'blue bolt' GROUP BY asset_id), b AS (SELECT m.asset_id, m.provenance FROM moa m JOIN (SELECT asset_id, min(tier) AS tier FROM moa GROUP BY asset_id) x ON x.asset_id = m.asset_id AND x.tier = m.tier)
-SELECT 'headline' AS figure, 'n_programs' AS label, CAST(count(*) AS DOUBLE) AS value FROM p
-UNION ALL SELECT 'headline', 'n_active_programs', count(*) FROM (SELECT asset_id FROM dev WHERE condition_key = 'blue bolt' AND program_exists GROUP BY asset_id)
-UNION ALL SELECT 'phases', coalesce(CAST(m AS VARCHAR), 'unknown'), count(*) FROM p GROUP BY ALL
-UNION ALL SELECT 'mechanisms', coalesce(b.provenance, 'none'), count(DISTINCT p.asset_id) FROM p LEFT JOIN b ON b.asset_id = p.asset_id GROUP BY ALL
-UNION ALL SELECT 'start_years', CAST(year(s.started) AS VARCHAR), count(*) FROM spine s JOIN cond c ON c.nct_id = s.nct_id WHERE c.condition_key = 'blue bolt' GROUP BY ALL""")
-def condition_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.condition_landscape(registry(spark, sf_dir), "blue bolt", figures=["headline", "phases", "mechanisms", "start_years"])
-
-
-@query("asset_landscape", """
-SELECT 'conditions' AS figure, condition_key AS label, CAST(count(DISTINCT nct_id) AS DOUBLE) AS value FROM dev WHERE asset_id = 'brand3x1' GROUP BY ALL
-UNION ALL SELECT 'roles', role, count(DISTINCT nct_id) FROM uses WHERE asset_id = 'brand3x1' GROUP BY ALL
-UNION ALL SELECT 'mechanisms', moa_label, count(*) FROM moa WHERE asset_id = 'brand3x1' GROUP BY ALL""")
-def asset_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.asset_landscape(registry(spark, sf_dir), "brand3x1", figures=["conditions", "roles", "mechanisms"])
-
-
-@query("company_landscape", """
-SELECT 'areas' AS figure, coalesce(a.area, 'Unclassified') AS label, CAST(count(DISTINCT s.nct_id) AS DOUBLE) AS value
-FROM sponsored s JOIN cond c ON c.nct_id = s.nct_id LEFT JOIN area a ON a.condition_key = c.condition_key WHERE s.lead_company_id = 'c3' GROUP BY ALL
-UNION ALL SELECT 'phases', coalesce(phase_norm, 'unknown'), count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL
-UNION ALL SELECT 'statuses', overall_status, count(*) FROM spine WHERE lead_company_id = 'c3' GROUP BY ALL""")
-def company_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.company_landscape(registry(spark, sf_dir), "c3", figures=["areas", "phases", "statuses"])
-
-
 PHASE_NAME = "CASE {} WHEN 0.5 THEN 'EARLY_PHASE1' WHEN 1 THEN 'PHASE1' WHEN 2 THEN 'PHASE2' WHEN 3 THEN 'PHASE3' WHEN 4 THEN 'PHASE4' ELSE '{}' END"
 
 
-@query("condition_landscape_all", """
+@query("condition_landscape", """
 , p AS (SELECT asset_id, max(phase_rank) AS m, max(phase_rank) FILTER (program_exists) AS active, count(DISTINCT nct_id) AS n, list(lead_company_id ORDER BY phase_rank DESC NULLS LAST, updated DESC NULLS LAST, nct_id)[1] AS lead FROM dev WHERE condition_key = 'blue bolt' GROUP BY asset_id),
 b AS (SELECT m.asset_id, m.provenance FROM moa m JOIN (SELECT asset_id, min(tier) AS tier FROM moa GROUP BY asset_id) x ON x.asset_id = m.asset_id AND x.tier = m.tier),
 own AS (SELECT s.* FROM spine s JOIN cond c ON c.nct_id = s.nct_id WHERE c.condition_key = 'blue bolt'), drug AS (SELECT DISTINCT * FROM own WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial),
@@ -132,11 +96,11 @@ UNION ALL SELECT * FROM (SELECT 'active_sponsors', name, sum(n_active) FROM led
 UNION ALL SELECT 'drug_start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(DISTINCT nct_id) FROM drug GROUP BY ALL
 UNION ALL SELECT 'sponsor_phases', lead_company_id || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM drug
   WHERE lead_company_id IN (SELECT company_id FROM led GROUP BY company_id ORDER BY sum(n) DESC, company_id LIMIT 10) GROUP BY ALL""")
-def condition_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def condition_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.condition_landscape(registry(spark, sf_dir), "blue bolt")
 
 
-@query("asset_landscape_all", PARTNERS_SQL + """
+@query("asset_landscape", PARTNERS_SQL + """
 , own AS (SELECT * FROM spine WHERE nct_id IN (SELECT nct_id FROM uses WHERE asset_id = 'brand3x1')), d AS (SELECT * FROM dev WHERE asset_id = 'brand3x1'),
 p AS (SELECT condition_key, max(phase_rank) AS m, max(phase_rank) FILTER (program_exists) AS active, count(DISTINCT nct_id) AS n FROM d GROUP BY ALL)
 SELECT 'conditions' AS figure, condition_key AS label, CAST(count(DISTINCT nct_id) AS DOUBLE) AS value FROM d GROUP BY ALL
@@ -150,11 +114,11 @@ UNION ALL SELECT * FROM (SELECT 'populations', kind || ': ' || term_id, count(DI
 UNION ALL SELECT 'start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(*) FROM own GROUP BY ALL
 UNION ALL SELECT 'condition_phases', condition_key || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM d
   WHERE condition_key IN (SELECT condition_key FROM p ORDER BY n DESC, condition_key LIMIT 8) GROUP BY ALL""")
-def asset_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asset_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.asset_landscape(registry(spark, sf_dir), "brand3x1")
 
 
-@query("company_landscape_all", """
+@query("company_landscape", """
 , own AS (SELECT s.*, c.condition_key FROM sponsored s JOIN cond c ON c.nct_id = s.nct_id WHERE s.lead_company_id = 'c3'), drug AS (SELECT * FROM spine WHERE lead_company_id = 'c3' AND study_type = 'INTERVENTIONAL' AND is_drug_trial),
 per AS (SELECT condition_key, count(DISTINCT nct_id) AS n, count(DISTINCT nct_id) FILTER (program_exists) AS n_active, count(DISTINCT nct_id) FILTER (phase_rank >= 3) AS n3 FROM own GROUP BY ALL)
 SELECT 'areas' AS figure, coalesce(a.area, 'Unclassified') AS label, CAST(sum(n) AS DOUBLE) AS value
@@ -168,29 +132,11 @@ UNION ALL SELECT 'drug_phases', coalesce(phase_norm, 'unknown'), count(*) FROM d
 UNION ALL SELECT 'drug_start_years', coalesce(CAST(year(started) AS VARCHAR), 'unknown'), count(*) FROM drug GROUP BY ALL
 UNION ALL SELECT 'condition_phases', condition_key || ' / ' || """ + PHASE_NAME.format("phase_rank", "unknown") + """, count(DISTINCT nct_id) FROM own
   WHERE condition_key IN (SELECT condition_key FROM per ORDER BY n DESC, condition_key LIMIT 8) GROUP BY ALL""")
-def company_landscape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def company_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.company_landscape(registry(spark, sf_dir), "c3")
 
 
 @query("funnel", """
-, f AS (
-  SELECT (SELECT count(*) FROM spine) AS studies, (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL') AS interventional,
-         (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial) AS drug, (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial AND is_industry) AS industry,
-         (SELECT count(*) FROM spine WHERE study_type = 'INTERVENTIONAL' AND is_drug_trial AND is_industry AND program_exists) AS in_scope,
-         (SELECT count(DISTINCT nct_id) FROM cond WHERE source = 'mesh_leaf') AS with_mesh, (SELECT count(*) FROM roles) AS trial_assets, (SELECT count(*) FROM roles WHERE role <> 'unknown') AS decided,
-         (SELECT count(*) FROM asset WHERE NOT is_combo) AS assets, (SELECT count(*) FROM asset WHERE is_combo) AS combos, (SELECT count(DISTINCT asset_id) FROM moa) AS labeled
-)
-SELECT * FROM (
-  SELECT unnest(['studies', 'interventional', 'drug', 'industry', 'in_scope', 'with_mesh', 'trial_assets', 'decided', 'assets', 'combos', 'labeled']) AS key,
-         unnest([studies, interventional, drug, industry, in_scope, with_mesh, trial_assets, decided, assets, combos, labeled])::DOUBLE AS value FROM f
-  UNION ALL SELECT 'pct_with_mesh', round_even(100.0 * with_mesh / greatest(studies, 1), 1)::DOUBLE FROM f
-  UNION ALL SELECT 'pct_decided', round_even(100.0 * decided / greatest(trial_assets, 1), 1)::DOUBLE FROM f
-  UNION ALL SELECT 'pct_labeled', round_even(100.0 * labeled / greatest(assets + combos, 1), 1)::DOUBLE FROM f)""")
-def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.funnel_steps(registry(spark, sf_dir))
-
-
-@query("funnel_all", """
 , scope AS (
   SELECT u.nct_id, u.no, u.asset_id, u.asset_id IN (SELECT asset_id FROM moa) AS labeled FROM uses u JOIN spine s ON s.nct_id = u.nct_id
   WHERE s.study_type = 'INTERVENTIONAL' AND s.is_drug_trial AND s.is_industry AND u.role <> 'comparator'
@@ -220,7 +166,7 @@ UNION ALL SELECT 'pct_interventions_keyed', round_even(100.0 * interventions_key
 UNION ALL SELECT 'pct_drug_with_arms', round_even(100.0 * drug_with_arms / greatest(drug, 1), 1)::DOUBLE FROM f
 UNION ALL SELECT 'role:' || role, count(*) FROM roles GROUP BY role
 UNION ALL SELECT 'pct_population:' || kind, round_even(100.0 * count(DISTINCT nct_id) / (SELECT greatest(studies, 1) FROM f), 1)::DOUBLE FROM mention GROUP BY kind""")
-def funnel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.funnel(registry(spark, sf_dir))
 
 
@@ -312,29 +258,36 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("id_scan", """
 SELECT page_id, CASE WHEN len(g) > 0 THEN array_to_string(list_sort(list_distinct(g)), ',') ELSE '' END AS ids
 FROM (SELECT page_id, list_transform(list_filter(regexp_extract_all(t, 'NCT[\\s\\-_:#]*([0-9]+)', 1), lambda d: length(d) = 8), lambda d: 'NCT' || d) AS g
-      FROM (SELECT page_id, 'see NCT' || lpad((page_id % 97)::VARCHAR, 8, '0') || ' and NCT-' || page_id || ' or NCT 00000' || lpad((page_id % 1000)::VARCHAR, 3, '0') AS t FROM pages))""", registry_sql=False)
+      FROM (SELECT page_id, html || ' see NCT' || lpad((page_id % 97)::VARCHAR, 8, '0') || ' and NCT-' || page_id || ' or NCT 00000' || lpad((page_id % 1000)::VARCHAR, 3, '0') AS t FROM pages))""", registry_sql=False)
 def id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
-    text = F.concat(F.lit("see NCT"), F.lpad((p % 97).cast("string"), 8, "0"), F.lit(" and NCT-"), p.cast("string"), F.lit(" or NCT 00000"), F.lpad((p % 1000).cast("string"), 3, "0"))
+    text = F.concat("html", F.lit(" see NCT"), F.lpad((p % 97).cast("string"), 8, "0"), F.lit(" and NCT-"), p.cast("string"), F.lit(" or NCT 00000"), F.lpad((p % 1000).cast("string"), 3, "0"))
     return table(spark, sf_dir, "pages").select("page_id", joined(scalars.study_ids(text)).alias("ids"))
 
 
-@query("grounding_violations", """
-SELECT DISTINCT conv_id, 'NCT' || lpad((turn * 7 % 50)::VARCHAR, 8, '0') AS id, 'not retrieved' AS violation FROM conversations c WHERE role = 'assistant'
-AND NOT EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = c.conv_id AND r.role <> 'assistant' AND r.turn * 7 % 50 + 7 = c.turn * 7 % 50)""", registry_sql=False)
+SAID_SQL = r"""WITH said AS (
+  SELECT conv_id, role, 'NCT' || lpad((turn * 7 % 50 + CASE WHEN role = 'assistant' THEN 0 ELSE 7 + conv_id % 2 END)::VARCHAR, 8, '0') AS id, coalesce(text, '') || ' as shown in NCT' || lpad((turn * 7 % 50)::VARCHAR, 8, '0') || ' and NCT' || (conv_id % 1000) AS text FROM conversations
+), named AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, 'NCT[\s\-_:#]*([0-9]+)', 1)) AS d FROM said WHERE role = 'assistant')
+"""
+
+
+@query("grounding_violations", SAID_SQL + """
+SELECT conv_id, 'NCT' || d AS id, 'not retrieved' AS violation FROM named WHERE length(d) = 8 AND NOT EXISTS (SELECT 1 FROM said r WHERE r.conv_id = named.conv_id AND r.role <> 'assistant' AND r.id = 'NCT' || d)
+UNION ALL SELECT conv_id, 'NCT' || d, 'malformed' FROM named WHERE length(d) <> 8""", registry_sql=False)
 def grounding_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer is its text and two ids, one of a wrong length; in every other conversation the questions retrieved other ids."""
     c = table(spark, sf_dir, "conversations")
     number = F.col("turn") * 7 % 50
     name = lambda n: F.concat(F.lit("NCT"), F.lpad(n.cast("string"), 8, "0"))
-    answers = c.where("role = 'assistant'").select("conv_id", F.concat(F.lit("as shown in "), name(number)).alias("answer"))
-    retrieved = c.where("role <> 'assistant'").select("conv_id", name(number + 7).alias("id"))
+    answers = c.where("role = 'assistant'").select("conv_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" as shown in "), name(number), F.lit(" and NCT"), (F.col("conv_id") % 1000).cast("string")).alias("answer"))
+    retrieved = c.where("role <> 'assistant'").select("conv_id", name(number + 7 + F.col("conv_id") % 2).alias("id"))
     return serving.grounding_violations(answers, retrieved, "conv_id")
 
 
 @query("conversation_running_sets", """
-SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list(w) OVER (PARTITION BY conv_id ORDER BY turn))), ',') AS seen FROM (SELECT conv_id, turn, string_split(text, ' ')[1] AS w FROM conversations)""", registry_sql=False)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten(list(string_split(text, ' ')) OVER (PARTITION BY conv_id ORDER BY turn)))), ',') AS seen FROM conversations""", registry_sql=False)
 def conversation_running_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.get(F.split("text", " "), F.lit(0))).alias("ids"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ids"))
     return ranking.running_set(rows, "conv_id", "turn", "ids").select("conv_id", "turn", joined("seen").alias("seen"))
 
 
@@ -349,18 +302,20 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.budget_prefix(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], "o_custkey", 1_000_000).select("o_orderkey", "spent")
 
 
-@query("cost_of", "SELECT doc_id, (n_chars * 3.0 + doc_id * 15.0) / 1e6 AS cost FROM documents", registry_sql=False)
+@query("cost_of", "SELECT doc_id, (length(coalesce(text, '')) * 3.0 + len(string_split(coalesce(text, ''), ' ')) * 15.0) / 1e6 AS cost FROM documents", registry_sql=False)
 def cost_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.cost_of(F.col("n_chars"), F.col("doc_id"), 3.0, 15.0).alias("cost"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.cost_of(F.length(text), F.size(F.split(text, " ")), 3.0, 15.0).alias("cost"))
 
 
-CLAIMS_SQL = """WITH claims AS (SELECT 'a' || (l_partkey % 400) AS alias, 'k' || (CASE WHEN l_suppkey % 12 > 0 THEN l_partkey % 7 ELSE l_suppkey % 9 END) AS owner, l_orderkey % 3000 AS trial FROM lineitem WHERE l_linenumber <= 2 OR l_partkey % 400 < 200)"""
+CLAIMS_SQL = """WITH claims AS (SELECT 'a' || (l_partkey % 400) AS alias, 'k' || (CASE WHEN l_partkey % 4 < 1 OR (l_partkey % 4 = 1 AND l_suppkey % 40 > 0) THEN l_partkey % 400 % 7 ELSE l_suppkey % 9 END) AS owner, l_orderkey AS trial FROM lineitem)"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a claim; the alias says whether it has one owner, one and a few strays, or many."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    owner = F.when(supp % 12 > 0, part % 7).otherwise(supp % 9)
-    return table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") <= 2) | (part % 400 < 200)).select(F.concat(F.lit("a"), (part % 400).cast("string")).alias("alias"), F.concat(F.lit("k"), owner.cast("string")).alias("owner"), (F.col("l_orderkey") % 3000).alias("trial"))
+    owner = F.when((part % 4 < 1) | ((part % 4 == 1) & (supp % 40 > 0)), part % 400 % 7).otherwise(supp % 9)
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), (part % 400).cast("string")).alias("alias"), F.concat(F.lit("k"), owner.cast("string")).alias("owner"), F.col("l_orderkey").alias("trial"))
 
 
 @query("dominance_aliases", CLAIMS_SQL + """, s AS (SELECT alias, owner AS root, count(DISTINCT trial) AS n FROM claims GROUP BY ALL)
@@ -377,73 +332,21 @@ def merge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.alias_support(_claims(spark, sf_dir), nobody).where("n >= 2")
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT a AS id, a AS root FROM v UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY id""", registry_sql=False)
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_linenumber = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
-    return resolution.connected_components(edges)
-
-
-ALL_CLAIMS_SQL = """WITH claims AS (SELECT 'a' || (l_partkey % 400) AS alias, 'k' || (CASE WHEN l_partkey % 4 < 1 OR (l_partkey % 4 = 1 AND l_suppkey % 40 > 0) THEN l_partkey % 400 % 7 ELSE l_suppkey % 9 END) AS owner, l_orderkey AS trial FROM lineitem)"""
-
-
-def _all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line is a claim; the alias says whether it has one owner, one and a few strays, or many."""
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    owner = F.when((part % 4 < 1) | ((part % 4 == 1) & (supp % 40 > 0)), part % 400 % 7).otherwise(supp % 9)
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), (part % 400).cast("string")).alias("alias"), F.concat(F.lit("k"), owner.cast("string")).alias("owner"), F.col("l_orderkey").alias("trial"))
-
-
-@query("dominance_aliases_all", ALL_CLAIMS_SQL + """, s AS (SELECT alias, owner AS root, count(DISTINCT trial) AS n FROM claims GROUP BY ALL)
-SELECT alias, CASE WHEN m = 1 OR (n >= 5 AND n >= 10 * n2) THEN root END AS root, n, m AS n_claimants, CASE WHEN m = 1 THEN 'sole' WHEN n >= 5 AND n >= 10 * n2 THEN 'dominance' ELSE 'vetoed' END AS decision
-FROM (SELECT *, lead(n) OVER w AS n2, count(*) OVER (PARTITION BY alias) AS m, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY alias ORDER BY n DESC, root)) WHERE r = 1""", registry_sql=False)
-def dominance_aliases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nobody = spark.createDataFrame([], "id string, root string")
-    return resolution.decide_aliases(resolution.alias_support(_all_claims(spark, sf_dir), nobody))
-
-
-@query("merge_support_all", ALL_CLAIMS_SQL + " SELECT alias, owner AS root, count(DISTINCT trial) AS n FROM claims GROUP BY ALL HAVING count(DISTINCT trial) >= 2", registry_sql=False)
-def merge_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nobody = spark.createDataFrame([], "id string, root string")
-    return resolution.alias_support(_all_claims(spark, sf_dir), nobody).where("n >= 2")
-
-
-@query("connected_components_all", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(id, root) USING KEY (id) AS (SELECT a, min(least(a, b)) FROM v GROUP BY a
   UNION SELECT v.b, min(r.root) FROM r JOIN v ON v.a = r.id JOIN recurring.r AS s ON s.id = v.b WHERE r.root < s.root GROUP BY v.b) SELECT id, root FROM r""", registry_sql=False)
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all edges of lineitem; its SQL keeps one row an id, so whole tables fit."""
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
     return resolution.connected_components(edges)
 
 
-CASES_SQL = """WITH r AS (SELECT DISTINCT o_custkey % 20 AS case_id, o_orderkey AS item FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 7 < 3), g AS (SELECT DISTINCT o_custkey % 20 AS case_id, o_orderkey AS item FROM orders WHERE o_orderkey % 7 < 2 AND o_custkey % 20 <> 4),
-n AS (SELECT coalesce(r.case_id, g.case_id) AS case_id, count(r.item) AS n_returned, count(g.item) AS n_gold, count(r.item) FILTER (g.item IS NOT NULL) AS n_hit FROM r FULL JOIN g ON r.case_id = g.case_id AND r.item = g.item GROUP BY 1)"""
-
-
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("case_id"), F.col("o_orderkey").alias("item"), "o_orderstatus")
-    return metrics.set_scores(o.where("o_orderstatus = 'O' AND item % 7 < 3"), o.where("item % 7 < 2 AND case_id <> 4"), "case_id", "item")
-
-
-@query("prf_by_case", CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 1.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 1.0 END AS recall FROM n)
-SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s""", registry_sql=False)
-def prf_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir)
-
-
-@query("prf_pooled", CASES_SQL + """, s AS (SELECT CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM n), p AS (SELECT *, n_hit / n_returned AS precision, n_hit / n_gold AS recall FROM s)
-SELECT *, 2 * precision * recall / (precision + recall) AS f1, n_gold >= 30 AS gating FROM p""", registry_sql=False)
-def prf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pooled(_scores(spark, sf_dir))
-
-
-ALL_CASES_SQL = """WITH o AS (SELECT o_custkey % 20 AS c, o_orderkey AS item, o_orderstatus = 'O' AS same FROM orders), r AS (SELECT DISTINCT CASE c WHEN 7 THEN 8 ELSE c END AS case_id, item FROM o),
+CASES_SQL = """WITH o AS (SELECT o_custkey % 20 AS c, o_orderkey AS item, o_orderstatus = 'O' AS same FROM orders), r AS (SELECT DISTINCT CASE c WHEN 7 THEN 8 ELSE c END AS case_id, item FROM o),
 g AS (SELECT DISTINCT CASE WHEN c = 4 OR (c = 3 AND NOT same) THEN 5 WHEN same THEN c ELSE (c + 1) % 20 END AS case_id, item FROM o),
 n AS (SELECT coalesce(r.case_id, g.case_id) AS case_id, count(r.item) AS n_returned, count(g.item) AS n_gold, count(r.item) FILTER (g.item IS NOT NULL) AS n_hit FROM r FULL JOIN g ON r.case_id = g.case_id AND r.item = g.item GROUP BY 1)"""
 
 
-def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is returned for a case and expected for the same or another one; case 7 returns nothing and case 4 expects nothing."""
     c, same = F.col("o_custkey") % 20, F.col("o_orderstatus") == "O"
     o = table(spark, sf_dir, "orders").withColumn("item", F.col("o_orderkey"))
@@ -452,16 +355,16 @@ def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.set_scores(returned, gold, "case_id", "item")
 
 
-@query("prf_by_case_all", ALL_CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 1.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 1.0 END AS recall FROM n)
+@query("prf_by_case", CASES_SQL + """, s AS (SELECT *, CASE WHEN n_returned > 0 THEN n_hit / n_returned ELSE 1.0 END AS precision, CASE WHEN n_gold > 0 THEN n_hit / n_gold ELSE 1.0 END AS recall FROM n)
 SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s""", registry_sql=False)
-def prf_by_case_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_scores(spark, sf_dir)
+def prf_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
 
 
-@query("prf_pooled_all", ALL_CASES_SQL + """, s AS (SELECT CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM n), p AS (SELECT *, n_hit / n_returned AS precision, n_hit / n_gold AS recall FROM s)
+@query("prf_pooled", CASES_SQL + """, s AS (SELECT CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM n), p AS (SELECT *, n_hit / n_returned AS precision, n_hit / n_gold AS recall FROM s)
 SELECT *, 2 * precision * recall / (precision + recall) AS f1, n_gold >= 30 AS gating FROM p""", registry_sql=False)
-def prf_pooled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pooled(_all_scores(spark, sf_dir))
+def prf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pooled(_scores(spark, sf_dir))
 
 
 @query("floor_rollup", """SELECT n_nationkey AS grp, coalesce(string_agg(DISTINCT 'm' || (s_suppkey % 4), ',' ORDER BY 'm' || (s_suppkey % 4)) FILTER (s_suppkey % 3 = 0 AND s_acctbal < 0), '') AS breaches,

@@ -25,15 +25,22 @@ def token_key(key: Column) -> Column:
 def resolve_many(spark: SparkSession, queries: Sequence[str], names: DataFrame, weights: DataFrame, kind: str | None = None) -> DataFrame:
     """query, id, rung, n_trials, source (and kind).  names: id, key (lower case), source (curated, name or other); weights: id, n_trials.
 
-    Queries are a handful from the caller, so they are broadcast; names are scanned once."""
+    Queries are a handful from the caller.  Decisive rungs are joins on equal keys, ids and word sets with the (broadcast) queries; prefixes and
+    substrings are one scan of the names that compares each with the queries as literals, so no join has a condition other than equality."""
     q = F.broadcast(spark.createDataFrame([(x, x.strip().lower()) for x in queries], "query string, q string"))
-    hits = names.join(q, F.like("key", F.concat(F.lit("%"), F.col("q"), F.lit("%"))) | (F.col("id") == F.col("q")) | (token_key(F.col("key")) == token_key(F.col("q"))))
-    same = (F.col("key") == F.col("q")) | (F.col("id") == F.col("q"))
-    rung = (
-        F.when(same & (F.col("source") == "curated"), 1).when(same & (F.col("source") == "name"), 2).when(same, 3)
-        .when((token_key(F.col("q")) != "") & (token_key(F.col("key")) == token_key(F.col("q"))), 4).when(F.like("key", F.concat(F.col("q"), F.lit("%"))), 5).otherwise(6)
-    )
-    best = hits.withColumn("rung", rung).groupBy("query", "id").agg(F.min(F.struct("rung", "source")).alias("r")).select("query", "id", "r.rung", "r.source")
+    words = F.broadcast(q.withColumn("w", token_key(F.col("q"))).where("w <> ''"))
+    same = names.join(q, F.col("key") == F.col("q")).union(names.join(q, F.col("id") == F.col("q")))
+    same = same.withColumn("rung", F.when(F.col("source") == "curated", 1).when(F.col("source") == "name", 2).otherwise(3))
+    alike = names.join(words, token_key(F.col("key")) == F.col("w")).drop("w").withColumn("rung", F.lit(4))
+
+    def found(text: str) -> Column:
+        at = text.strip().lower()
+        rung = F.when(F.col("key").like(f"{at}%"), 5).when(F.col("key").like(f"%{at}%"), 6)
+        return F.struct(F.lit(text).alias("query"), F.lit(at).alias("q"), rung.alias("rung"))
+
+    parts = names.select(*names.columns, F.inline(F.filter(F.array(*map(found, queries)), lambda f: f["rung"].isNotNull())))
+    hits = same.union(alike).unionByName(parts)
+    best = hits.groupBy("query", "id").agg(F.min(F.struct("rung", "source")).alias("r")).select("query", "id", "r.rung", "r.source")
     first = F.min("rung").over(Window.partitionBy("query"))
     best = best.withColumn("_first", first).where((F.col("_first") > LAST_DECISIVE) | (F.col("rung") == F.col("_first"))).drop("_first")
     ranked = best.join(weights, "id", "left").withColumn("n_trials", F.coalesce("n_trials", F.lit(0)))

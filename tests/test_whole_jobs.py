@@ -15,7 +15,7 @@ def test_connected_components_of_all_edges(spark, tmp_path):
         g = groups.pop()
         near = [h for h in groups if h & g]
         groups = [g.union(*near)] + [h for h in groups if not h & g]
-    got = catalog.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.root) for r in got) == sorted((v, min(g)) for g in groups for v in g)
     assert len(groups) == 5
 
@@ -24,17 +24,17 @@ def test_every_line_is_a_claim(spark, tmp_path):
     # alias a400 % 400 = a0: sole; a201: dominance, but only with its third lines; a203: many owners
     lines = [(i, 3, p, s) for i, (p, s) in enumerate([(400, 1), (400, 2)] + [(201, 1)] * 10 + [(201, 40)] + [(203, 1), (203, 2)])]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.alias: (r.n, r.n_claimants, r.decision) for r in catalog.QUERIES["dominance_aliases_all"](spark, str(tmp_path)).collect()}
+    got = {r.alias: (r.n, r.n_claimants, r.decision) for r in catalog.QUERIES["dominance_aliases"](spark, str(tmp_path)).collect()}
     assert got == {"a0": (2, 1, "sole"), "a201": (10, 2, "dominance"), "a203": (1, 2, "vetoed")}
-    assert sorted((r.alias, r.n) for r in catalog.QUERIES["merge_support_all"](spark, str(tmp_path)).collect()) == [("a0", 2), ("a201", 10)]
+    assert sorted((r.alias, r.n) for r in catalog.QUERIES["merge_support"](spark, str(tmp_path)).collect()) == [("a0", 2), ("a201", 10)]
 
 
 def test_every_order_is_returned_and_expected(spark, tmp_path):
     spark.createDataFrame([(i, i % 20, "OF"[i // 20 % 2]) for i in range(400)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
-    by_case = {r.case_id: r for r in catalog.QUERIES["prf_by_case_all"](spark, str(tmp_path)).collect()}
+    by_case = {r.case_id: r for r in catalog.QUERIES["prf_by_case"](spark, str(tmp_path)).collect()}
     assert sum(r.n_returned for r in by_case.values()) == sum(r.n_gold for r in by_case.values()) == 400
     assert by_case[7].n_returned == 0 and by_case[4].n_gold == 0
-    (pooled,) = catalog.QUERIES["prf_pooled_all"](spark, str(tmp_path)).collect()
+    (pooled,) = catalog.QUERIES["prf_pooled"](spark, str(tmp_path)).collect()
     assert (pooled.n_returned, pooled.n_gold, pooled.n_hit) == (400, 400, 190)  # half of 18 cases, and the other half of case 7
 
 
