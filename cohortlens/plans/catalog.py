@@ -223,4 +223,4 @@ def arm_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir)["trial_assets"]
 
 
-from . import catalog2  # noqa: E402, F401  (registers the rest)
+from . import catalog2, catalog3  # noqa: E402, F401  (register the rest)

@@ -7,7 +7,8 @@ wildcards, as the patterns are not escaped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,31 @@ def resolve_many(spark: SparkSession, queries: Sequence[str], names: DataFrame,
     return out if kind is None else out.withColumn("kind", F.lit(kind))
 
 
+#: A mesh descriptor's id.
+MESH_ID = "^[CD][0-9]{5,9}$"
+NOTE_LISTED = "listed-only condition without a mesh id: stay with listed keys"
+NOTE_SIBLING = "the mesh id is the definition of record; the same name also has a listed-only key, and the two are never summed"
+
+
+def resolve_any(spark: SparkSession, queries: Sequence[str], kinds: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """query, kind, id, rung, n_trials: each query through the ladder of every kind (name -> its names and weights), the best MOST of all."""
+    parts = [resolve_many(spark, queries, names, weights, kind) for kind, (names, weights) in kinds.items()]
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rung", F.desc("n_trials"), "id", "kind"))
+    return reduce(DataFrame.unionByName, parts).withColumn("_place", place).where(F.col("_place") <= MOST).select("query", "kind", "id", "rung", "n_trials")
+
+
+def with_notes(found: DataFrame, names: DataFrame, weights: DataFrame) -> DataFrame:
+    """Hits of conditions (query, id, rung, n_trials) with `note` and, where the best one is a mesh id, the listed-only key (names: id, key) that is the
+    query itself, as a further hit of rung 7."""
+    best = found.groupBy("query").agg(F.min(F.struct("rung", (-F.col("n_trials")).alias("n"), "id"))["id"].alias("best"))
+    listed = names.where(~F.col("id").rlike(MESH_ID)).select("id", "key").distinct()
+    siblings = best.where(F.col("best").rlike(MESH_ID)).join(listed, token_key(F.col("query")) == token_key(F.col("key"))).join(found.select("query", "id"), ["query", "id"], "left_anti")
+    more = siblings.join(weights, "id", "left").select("query", "id", F.lit(7).alias("rung"), F.coalesce("n_trials", F.lit(0)).alias("n_trials"))
+    told = best.join(more.select("query").distinct().withColumn("_sibling", F.lit(True)), "query", "left")
+    note = F.when(~F.col("best").rlike(MESH_ID), NOTE_LISTED).when(F.col("_sibling"), NOTE_SIBLING).otherwise("")
+    return found.select("query", "id", "rung", "n_trials").unionByName(more).join(told.select("query", note.alias("note")), "query")
+
+
 def nearest(spark: SparkSession, query: str, names: DataFrame, k: int = 3) -> DataFrame:
     """For a query without a hit: the ids with most of its words, then most similar keys."""
     words = [w for w in query.lower().split() if w not in STOP_TOKENS]

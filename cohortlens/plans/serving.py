@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,23 @@ def profile_trials(spark: SparkSession, t: Tables, ids: Sequence[str]) -> tuple[
     return rows, asked.join(base.select("nct_id"), "nct_id", "left_anti")
 
 
+STUDY_NUMBER = r"^NCT[0-9]{8}$"
+
+
+def get_trial(t: Tables, nct_id: str, shape: str = STUDY_NUMBER) -> DataFrame:
+    """The card of one study (no row if it isn't there); the filter on its id reaches every scan."""
+    if not re.match(shape, nct_id or ""):
+        raise ValueError(f"an id has to match {shape}")
+    return views.trial_card(t).where(F.col("nct_id") == nct_id)
+
+
+def trial_entity_ids(cards: DataFrame) -> DataFrame:
+    """nct_id, entity: ids of the assets, conditions, population terms and the lead company on cards, once each."""
+    named = [F.coalesce(F.col(c)[k], F.array().cast("array<string>")) for c, k in (("trial_assets", "asset_id"), ("conditions_primary", "condition_key"), ("population_mentions", "term_id"))]
+    every = F.concat(*named, F.array("lead_company_id"))
+    return cards.select("nct_id", F.explode(F.array_distinct(F.filter(every, lambda e: e.isNotNull() & (e != "")))).alias("entity"))
+
+
 def grounding_violations(answers: DataFrame, retrieved: DataFrame, key: str, text: str = "answer") -> DataFrame:
     """key, id, violation: study ids that an answer names but its run did not retrieve, and ids of a wrong length."""
     named = answers.select(key, F.explode(study_ids(F.col(text))).alias("id")).distinct()
@@ -115,14 +132,22 @@ def harvest(value: Any) -> set[str]:
     return set()
 
 
-def run_sql(spark: SparkSession, text: str, relations: Iterable[str], max_rows: int = MOST_ROWS, timeout_s: float = 20.0) -> dict[str, Any]:
+def bound_sql(spark: SparkSession, text: str, relations: Iterable[str], parameters: Sequence[Any] | Mapping[str, Any] | None = None) -> DataFrame:
+    """The rows of a statement that passes; parameters fill its ? or :name marks as values, never as text."""
+    body = validate_sql(spark, text, relations)
+    if not parameters:
+        return spark.sql(body)
+    return spark.sql(body, args=dict(parameters) if isinstance(parameters, Mapping) else list(parameters))
+
+
+def run_sql(spark: SparkSession, text: str, relations: Iterable[str], max_rows: int = MOST_ROWS, timeout_s: float = 20.0, parameters: Sequence[Any] | Mapping[str, Any] | None = None) -> dict[str, Any]:
     """columns, rows (at most max_rows), n_rows (all), retrieved ids (of all rows).  The job group is cancelled at the timeout.
 
     Counting and ids are distributed jobs; only the rows shown come to the driver."""
     import threading
     import uuid
 
-    df = spark.sql(validate_sql(spark, text, relations))
+    df = bound_sql(spark, text, relations, parameters)
     group = f"sql-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(group, text[:100], interruptOnCancel=True)
     timer = threading.Timer(timeout_s, spark.sparkContext.cancelJobGroup, [group])
