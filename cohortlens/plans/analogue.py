@@ -11,6 +11,9 @@ session first asks for it, and lines are aggregated and joined with parts once.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ def asset() -> Column:
     return F.concat(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit("x"), (F.col("p_size") % 4).cast("string"))
 
 
+NAMES = (
+    "studies", "interventions", "arms", "arm_interventions", "assets", "asset_components", "_used", "trial_conditions_norm", "condition_areas", "trial_sponsors_norm", "companies", "chembl_moa", "asset_curated_moa",
+    "asset_nlm_classes", "asset_enrichment", "population_mentions", "build_meta", "sponsors", "study_conditions", "mesh_terms",
+)
 _INDEX: dict[tuple[str, str], Kept] = {}
 
 
@@ -29,8 +36,14 @@ def registry(spark: SparkSession, sf_dir: str) -> Kept:
     """The tables made from those of a folder, one index for each session and folder."""
     where = (spark.sparkContext.applicationId, sf_dir)
     if where not in _INDEX:
-        names = [*_derived(spark, sf_dir, _lines(spark, sf_dir))]
-        made = {name: lambda kept, name=name: _derived(spark, sf_dir, kept["lines"])[name] for name in names}
+        plans: dict[str, DataFrame] = {}
+
+        def plan(name: str, kept: Mapping[str, DataFrame]) -> DataFrame:
+            if not plans:
+                plans.update(_derived(spark, sf_dir, kept["lines"]))
+            return plans[name]
+
+        made = {name: partial(plan, name) for name in NAMES}
         made["trial_assets"] = lambda kept: assign_roles(kept["_used"], kept["arm_interventions"], kept["arms"])
         _INDEX[where] = Kept(spark, made | {"lines": lambda _: _lines(spark, sf_dir)}, "nct_id")
     return _INDEX[where]

@@ -101,7 +101,7 @@ def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trial_entities", """
 SELECT nct_id, asset_id AS entity FROM uses UNION SELECT nct_id, condition_key FROM cond UNION SELECT nct_id, term_id FROM mention UNION SELECT nct_id, lead_company_id FROM spine WHERE lead_company_id IS NOT NULL""")
 def trial_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.trial_entity_ids(views.trial_card(registry(spark, sf_dir)))
+    return serving.trial_entity_ids(registry(spark, sf_dir))
 
 
 @query("get_trial", "SELECT nct_id, overall_status, phase_norm, lead_company_name FROM spine WHERE nct_id = 'T000000012'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,11 @@ def get_trial(t: Tables, nct_id: str, shape: str = STUDY_NUMBER) -> DataFrame:
     return views.trial_card(t).where(F.col("nct_id") == nct_id)
 
 
-def trial_entity_ids(cards: DataFrame) -> DataFrame:
-    """nct_id, entity: ids of the assets, conditions, population terms and the lead company on cards, once each."""
-    named = [F.coalesce(F.col(c)[k], F.array().cast("array<string>")) for c, k in (("trial_assets", "asset_id"), ("conditions_primary", "condition_key"), ("population_mentions", "term_id"))]
-    every = F.concat(*named, F.array("lead_company_id"))
-    return cards.select("nct_id", F.explode(F.array_distinct(F.filter(every, lambda e: e.isNotNull() & (e != "")))).alias("entity"))
+def trial_entity_ids(t: Tables) -> DataFrame:
+    """nct_id, entity: what a study's card names, once each: ids of its assets, conditions, population terms and lead company.  Read from the edges
+    that the card is made of, without its nested lists."""
+    edges = [(t["trial_assets"].where("via = 'name'"), "asset_id"), (views.trial_conditions_primary(t), "condition_key"), (t["population_mentions"], "term_id"), (views.trials(t), "lead_company_id")]
+    return reduce(DataFrame.union, [df.select("nct_id", F.col(c).alias("entity")) for df, c in edges]).where("entity <> ''").distinct()
 
 
 def grounding_violations(answers: DataFrame, retrieved: DataFrame, key: str, text: str = "answer") -> DataFrame:
