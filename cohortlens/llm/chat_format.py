@@ -10,8 +10,9 @@ the loss mask if it overlaps an assistant's text: both lists of spans are sorted
 overlap is two binary searches for each span.
 
 Edge cases: null role and null text are empty; rows with the same turn are ordered by role,
-then text; a null conv_id is a conversation of its own; an empty table gives an empty result;
-assistant turns without text put nothing under the mask.
+then text; repeated rows are turns of their own; a null conv_id is a conversation of its own; an empty table gives an empty result;
+assistant turns without text put nothing under the mask; very long texts and conversations are encoded whole, so a conversation has to fit in
+a task; columns other than the four are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations

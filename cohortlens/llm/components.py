@@ -4,6 +4,8 @@ Each partition of links is first reduced to stars by a union-find over that part
 are lowered in rounds (every vertex and every vertex's label takes the least label in sight, then labels jump to their
 own labels), each round written to the shared folder, until none changes.  The number of rounds
 grows with the logarithm of the longest path.
+
+Edge cases: repeated links change nothing; a vertex that is linked with itself alone has no row; without links there are no rows.  A worker holds a number or two for each vertex of its partition's links.
 """
 
 from __future__ import annotations

@@ -56,3 +56,12 @@ def test_conversations(spark):
 def test_binary_search_is_overlap(spans):
     offsets = np.array([(0, 2), (2, 3), (3, 6), (6, 7), (7, 9), (9, 10)])
     assert cf.token_mask(offsets, spans).tolist() == [any(a < d and b > c and c < d for c, d in spans) for a, b in offsets.tolist()]
+
+
+def test_a_long_conversation_and_clashing_columns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <|end|> " + "word " * (20_000 if i == 3 else 5)) for i in range(301)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = cf.format_conversations(df.selectExpr("*", "'x' AS ids", "'y' AS formatted", "1 AS loss_mask").repartition(5), PATH)
+    (r,) = cf.conversation_digests(made).collect()
+    loss = "".join(x for _, _, role, x in rows if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (301, len(loss), hashlib.sha256(loss.encode()).hexdigest())

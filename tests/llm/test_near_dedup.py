@@ -123,3 +123,9 @@ def test_runs_are_whole():
     found = [t.column("k").to_pylist() for t in nd.runs(iter(batches), ["k"])]
     assert [x for t in found for x in t] == [1, 1, 1, 1, 2, 3, 3, 4]
     assert all(set(a).isdisjoint(b) for i, a in enumerate(found) for b in found[:i])
+
+
+def test_clashing_columns(spark):
+    docs = awkward(spark).selectExpr("*", "1 AS component_id", "'x' AS n_shingles", "2 AS id", "'k' AS kept", "'t' AS tokens")
+    got = nd.near_duplicates(docs, 2)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == docs.count()

@@ -72,6 +72,21 @@ def test_verdicts(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_each_verdict_follows_the_ratio(spark):
+    """kept is exactly: the base rules hold and the ratio, computed by hand, reaches the threshold."""
+    good = [(i, " ".join(f"the cat number {k} sat on a warm mat near house {k + i}" for k in range(12)), "en", "a", 1) for i in range(40)]
+    mixed = [(100 + i, " ".join([f"the cat number {i} sat on a warm mat"] * 1 + [f"zx{j}q%% $k{j * i}" for j in range(i)] + [f"near house {i + j}" for j in range(8)]), "en", "a", 1) for i in range(1, 60)]
+    docs = spark.createDataFrame(good + mixed, "doc_id long, text string, lang string, source string, n_chars long")
+    trusted = docs.where("doc_id < 30").select("doc_id")
+    table = quality.weights(docs, trusted)
+    judged = quality.judge(docs, trusted).collect()
+    for r in judged:
+        found = brute_buckets(r.text)
+        ratio = sum(table[b] for b in found) / len(found)
+        assert r.kept == (not r.base_failed and ratio >= quality.THRESHOLD)
+    assert {r.kept for r in judged if not r.base_failed} == {True, False}
+
+
 def test_without_trusted_rows_only_base_rules_decide(spark, docs):
     nobody = spark.createDataFrame([], "doc_id long")
     assert all(r.kept == (not r.base_failed) and r.llr == 0 for r in quality.judge(docs, nobody).collect())

@@ -52,3 +52,9 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/tokens"
     tf.write_tokens(empty(spark), path, PATH)
     assert tf.read_tokens(spark, path).count() == 0
+
+
+def test_clashing_columns(spark, tmp_path):
+    path = f"file://{tmp_path}/clash"
+    tf.write_tokens(awkward(spark).selectExpr("*", "'x' AS ids", "'y' AS shard", "1 AS n_tokens"), path, PATH)
+    assert tf.read_tokens(spark, path).count() == awkward(spark).count()
