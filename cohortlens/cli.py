@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         raw = registry.flatten(registry.parse(registry.read_members(spark, args.documents, args.limit)).persist())
         registry.write_tables(raw, args.index)
         raw = registry.read_tables(spark, args.index, list(raw))
+        registry.check_counts(registry.read_members(spark, args.documents, args.limit), raw)
         made = normalize.normalize(raw, Lexicon.from_folder(args.lexicons) if args.lexicons else None)
         new = {k: v for k, v in made.items() if k not in raw} | {"build_meta": registry.snapshot_date(raw["studies"])}
         registry.write_tables(new | {name: spark.createDataFrame([], schema) for name, schema in MECHANISMS.items()}, args.index)

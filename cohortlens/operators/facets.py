@@ -33,6 +33,14 @@ def matrix(rows: DataFrame, row: str, column: str, columns: Sequence[str], value
     return rows.groupBy(row).pivot(column, list(columns)).agg(value).fillna(0, subset=list(columns))
 
 
+def evidence_matrix(rows: DataFrame, row: str, column: str, cited: str = "cited", k: int = 8) -> DataFrame:
+    """row, column, n, n_cited of the k row labels with most rows (ties: the least label); nulls read unknown."""
+    named = rows.select(F.coalesce(F.col(row), F.lit("unknown")).alias(row), F.coalesce(F.col(column), F.lit("unknown")).alias(column), cited)
+    cells = named.groupBy(row, column).agg(F.count("*").alias("n"), F.count_if(cited).alias("n_cited"))
+    most = cells.groupBy(row).agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), row).limit(k).select(row)
+    return cells.join(F.broadcast(most), row)
+
+
 def ranked_evidence(rows: DataFrame, k: int = 40) -> DataFrame:
     """Cited first, then mentioned, then by phase, then by id."""
     return rows.orderBy(F.desc("cited"), F.desc("mentioned"), F.col("phase_rank").desc_nulls_last(), "nct_id").limit(k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import folds, names, scalars
 from cohortlens.functions.lexicon import Lexicon
+from cohortlens.operators import facets
 from cohortlens.sources import registry as documents
 
 from . import resolve, serving, views
@@ -202,3 +203,12 @@ SELECT unnest(['n_no_arms', 'n_no_interventions', 'n_no_conditions', 'n_no_mesh'
        unnest([0, 0, 0, good, 0, 0, good, good, good, bad]) AS n FROM o""")
 def drop_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop_census(documents.flatten(documents.parse(_documents(spark, sf_dir))))
+
+
+@query("evidence_matrix", """
+, r AS (SELECT coalesce(lead_company_id, 'unknown') AS lead_company_id, coalesce(phase_norm, 'unknown') AS phase_norm, nct_id LIKE '%7' AS cited FROM spine)
+SELECT lead_company_id, phase_norm, count(*) AS n, count(*) FILTER (cited) AS n_cited FROM r
+WHERE lead_company_id IN (SELECT lead_company_id FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8) GROUP BY ALL""")
+def evidence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trials(registry(spark, sf_dir)).withColumn("cited", F.col("nct_id").endswith("7"))
+    return facets.evidence_matrix(rows, "lead_company_id", "phase_norm")

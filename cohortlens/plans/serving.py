@@ -15,7 +15,7 @@ from cohortlens.functions.scalars import malformed_study_ids, study_ids
 from . import views
 from .views import Tables, sorted_set
 
-MOST_PROFILED, MOST_ROWS, MOST_TURNS = 2000, 200, 20
+MOST_PROFILED, MOST_ROWS, MOST_TURNS, MOST_IDS = 2000, 200, 20, 100_000
 
 
 def profile_trials(spark: SparkSession, t: Tables, ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -141,10 +141,17 @@ def bound_sql(spark: SparkSession, text: str, relations: Iterable[str], paramete
     return spark.sql(body, args=dict(parameters) if isinstance(parameters, Mapping) else list(parameters))
 
 
+def retrieved_ids(df: DataFrame) -> DataFrame:
+    """id: the study ids in any column of any row."""
+    flat = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.select(F.explode(F.regexp_extract_all(flat, F.lit("NCT[0-9]{8}(?![0-9])"), F.lit(0))).alias("id")).distinct()
+
+
 def run_sql(spark: SparkSession, text: str, relations: Iterable[str], max_rows: int = MOST_ROWS, timeout_s: float = 20.0, parameters: Sequence[Any] | Mapping[str, Any] | None = None) -> dict[str, Any]:
-    """columns, rows (at most max_rows), n_rows (all), retrieved ids (of all rows).  The job group is cancelled at the timeout.
+    """columns, rows (at most max_rows), n_rows (all), retrieved ids (of all rows, MOST_IDS at most; ids_cut says if there are more, and
+    `retrieved_ids` of the same rows has all as a table).  The job group is cancelled at the timeout.
 
-    Counting and ids are distributed jobs; only the rows shown come to the driver."""
+    Counting and ids are distributed jobs; only the rows shown and the ids come to the driver."""
     import threading
     import uuid
 
@@ -156,9 +163,8 @@ def run_sql(spark: SparkSession, text: str, relations: Iterable[str], max_rows:
     try:
         rows = [r.asDict(recursive=True) for r in df.limit(max_rows + 1).collect()]
         n = len(rows) if len(rows) <= max_rows else df.count()
-        flat = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-        ids = {r.id for r in df.select(F.explode(F.regexp_extract_all(flat, F.lit("NCT[0-9]{8}(?![0-9])"), F.lit(0))).alias("id")).distinct().collect()}
+        ids = {r.id for r in retrieved_ids(df).limit(MOST_IDS + 1).collect()}
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    return {"columns": df.columns, "rows": rows[:max_rows], "n_rows": n, "retrieved": ids | harvest(rows)}
+    return {"columns": df.columns, "rows": rows[:max_rows], "n_rows": n, "retrieved": ids | harvest(rows), "ids_cut": len(ids) > MOST_IDS}

@@ -132,6 +132,13 @@ def link_arms(arms: DataFrame, treatments: DataFrame) -> DataFrame:
     return by_label.union(by_name.withColumn("via", F.lit("name")))
 
 
+def check_counts(members: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """Every member is a study or a dead letter; anything else fails the build."""
+    read, kept, failed = members.count(), tables["studies"].count(), tables["ingest_failures"].count()
+    if read != kept + failed:
+        raise RuntimeError(f"{read} documents, but {kept} studies and {failed} failures")
+
+
 def snapshot_date(studies: DataFrame) -> DataFrame:
     """The build's one metadata row that views need: the last update in the data, never the clock."""
     last = studies.agg(F.max("last_update_date_parsed").cast("string").alias("value"))
