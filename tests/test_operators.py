@@ -167,3 +167,19 @@ def test_reconciled_counts(spark):
     partners = spark.createDataFrame([("a", "x", "N1"), ("a", "x", "N1")], "asset_id string, condition_key string, nct_id string")
     programs = spark.createDataFrame([("a", "x", 12)], "asset_id string, condition_key string, n_trials long")
     assert evaluation.reconciles(partners, programs, "a", "x", "1 of 12 trials") and not evaluation.reconciles(partners, programs, "a", "x", "2 of 12")
+
+
+def test_notes_and_the_listed_sibling(spark):
+    names = spark.createDataFrame([("D002289", "carcinoma, non-small-cell lung", "name"), ("nsclc", "nsclc", "name"), ("D002289", "nsclc", "curated"), ("rare thing", "rare thing", "name")], "id string, key string, source string")
+    weights = spark.createDataFrame([("D002289", 9), ("nsclc", 2), ("rare thing", 1)], "id string, n_trials long")
+    found = resolve.resolve_many(spark, ["NSCLC", "rare thing"], names.where("id <> 'nsclc'"), weights)
+    got = {(r.query, r.id): (r.rung, r.n_trials, r.note) for r in resolve.with_notes(found, names, weights).collect()}
+    assert got == {("NSCLC", "D002289"): (1, 9, resolve.NOTE_SIBLING), ("NSCLC", "nsclc"): (7, 2, resolve.NOTE_SIBLING), ("rare thing", "rare thing"): (2, 1, resolve.NOTE_LISTED)}
+
+
+def test_sql_parameters_are_values(spark):
+    spark.range(10).createOrReplaceTempView("t")
+    for text, values in (("SELECT id FROM t WHERE id > :a AND id < :b", {"a": 3, "b": 6}), ("SELECT id FROM t WHERE id > ? AND id < ?", [3, 6])):
+        got = serving.run_sql(spark, text, ["t"], parameters=values)
+        assert sorted(r["id"] for r in got["rows"]) == [4, 5] and not got["ids_cut"]
+    assert serving.run_sql(spark, "SELECT id FROM t WHERE cast(id AS string) = :a", ["t"], parameters={"a": "1 OR true"})["rows"] == []
