@@ -17,11 +17,12 @@ def chosen(facets: Sequence[str], picks: Mapping[str, Sequence[str]], but: str |
 
 def tallies(rows: DataFrame, facets: Sequence[str], picks: Mapping[str, Sequence[str]], cited: str = "cited") -> DataFrame:
     """facet, value, n, n_cited: each facet counted under the picks of the others.  One pass: a row is exploded into
-    (facet, value) pairs, each kept only where the other facets' picks hold."""
+    (facet, value) pairs, each kept only where the other facets' picks hold.  A null facet has no values, and its row counts in the others."""
     none = F.array().cast("array<struct<facet:string,value:string>>")
 
     def pairs_of(facet: str) -> Column:
-        return F.when(chosen(facets, picks, facet), F.transform(F.array_distinct(facet), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))).otherwise(none)
+        pairs = F.transform(F.array_distinct(facet), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+        return F.coalesce(F.when(chosen(facets, picks, facet), pairs), none)
 
     parts = [pairs_of(f) for f in facets]
     pairs = rows.select(cited, F.inline(F.concat(*parts)))

@@ -79,6 +79,13 @@ def test_facets_apply_the_picks_of_the_others(spark):
     assert rows(facets.tallies(df, ["f", "g"], {"f": ["a"], "g": ["x"]})) == [("f", "a", 1, 1), ("f", "b", 1, 0), ("g", "x", 1, 1), ("g", "y", 1, 0)]
 
 
+def test_a_null_facet_hides_no_other_facet(spark):
+    df = spark.createDataFrame([("1", ["a"], None, True), ("2", ["a"], ["x"], False), ("3", None, ["x"], True)], "id string, f array<string>, g array<string>, cited boolean")
+    assert rows(facets.tallies(df, ["f", "g"], {})) == [("f", "a", 2, 1), ("g", "x", 2, 1)]
+    assert rows(facets.tallies(df, ["f", "g"], {"f": ["a"]})) == [("f", "a", 2, 1), ("g", "x", 1, 0)]
+    assert rows(facets.tallies(df, ["f", "g"], {"g": ["x"]})) == [("f", "a", 1, 0), ("g", "x", 2, 1)]
+
+
 def test_resolver_rungs(spark):
     names = spark.createDataFrame([("p", "petinib", "name"), ("p", "px1234", "other"), ("q", "petinib sulfate", "name"), ("r", "old name", "curated")], "id string, key string, source string")
     weights = spark.createDataFrame([("p", 5), ("q", 9)], "id string, n_trials long")

@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force on small tables with rows that the subset queries leave out."""
 
+import duckdb
+
 from cohortlens.plans import analytics, catalog, views
 from cohortlens.plans.analogue import registry
 
@@ -65,3 +67,15 @@ def test_landscapes_give_all_figures_by_default(spark):
     assert figures(analytics.condition_landscape(t, "blue bolt")) == {"headline", "phases", "sponsors", "mechanisms", "populations", "start_years", "more", "active_phases", "active_sponsors", "drug_start_years", "sponsor_phases"}
     assert figures(analytics.asset_landscape(t, "brand3x1")) == {"conditions", "roles", "mechanisms", "sponsors", "partners", "headline", "populations", "start_years", "condition_phases"}
     assert figures(analytics.company_landscape(t, "c3")) == {"areas", "phases", "statuses", "conditions", "headline", "active_areas", "drug_phases", "drug_start_years", "condition_phases"}
+
+
+def test_facets_count_studies_without_lines(spark, tmp_path):
+    for name in ("part", "orders", "customer", "nation", "lineitem"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df.where("l_orderkey % 3 <> 2") if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("part", "orders", "customer", "nation", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = catalog.QUERIES["facet_crossfilter"](spark, str(tmp_path)).collect()
+    want = con.sql(f"SELECT facet, value, n, n_cited FROM ({catalog.ORACLE_SQL['facet_crossfilter']})").fetchall()
+    assert sorted((r.facet, r.value, r.n, r.n_cited) for r in got) == sorted(want)
