@@ -277,7 +277,7 @@ def trial_card(t: Tables) -> DataFrame:
         arms, named,
     ]
     long = [c for c in ("official_title", "brief_summary", "eligibility_criteria") if c in t["studies"].columns]
-    card = trials(t).join(t["studies"].select("nct_id", *long), "nct_id")
+    card = trials(t).join(t["studies"].select("nct_id", *long), "nct_id") if long else trials(t)
     card = card.join(t["companies"].select(F.col("company_id").alias("lead_company_id"), F.col("canonical_name").alias("lead_company_name")), "lead_company_id", "left")
     return reduce(lambda df, part: df.join(part, "nct_id", "left"), lists, card).withColumn("ctgov_url", F.concat(F.lit("https://clinicaltrials.gov/study/"), "nct_id"))
 

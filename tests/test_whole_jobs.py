@@ -1,9 +1,12 @@
 """Queries over whole tables, against brute force on small tables with rows that the subset queries leave out."""
 
+import os
+
 import duckdb
 
 from cohortlens.plans import analytics, catalog, views
 from cohortlens.plans.analogue import registry
+from cohortlens.session import CO_PARTITION
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +82,32 @@ def test_facets_count_studies_without_lines(spark, tmp_path):
     got = catalog.QUERIES["facet_crossfilter"](spark, str(tmp_path)).collect()
     want = con.sql(f"SELECT facet, value, n, n_cited FROM ({catalog.ORACLE_SQL['facet_crossfilter']})").fetchall()
     assert sorted((r.facet, r.value, r.n, r.n_cited) for r in got) == sorted(want)
+
+
+def test_cards_of_a_study_listed_twice(spark, tmp_path):
+    con = duckdb.connect()
+    for name in ("part", "orders", "customer", "nation", "lineitem"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        df = df.where("l_orderkey < 40 AND l_orderkey % 3 <> 2") if name == "lineitem" else df.where("o_orderkey < 40") if name == "orders" else df
+        (df.union(df.where("o_orderkey % 7 = 0")) if name == "orders" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLE_SQL["trial_card"]).df()
+    got = catalog.QUERIES["trial_card"](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    key = lambda df: sorted(repr(tuple(None if v is None or v != v else v for v in r)) for r in df.astype(object).itertuples(index=False))
+    assert key(got) == key(want) and len(got) > 46
+
+
+def test_cards_move_no_table_by_study(spark, tmp_path):
+    os.symlink(SF, tmp_path / "tables")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", CO_PARTITION)}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+        spark.conf.set(CO_PARTITION, "true")  # as in a session that isn't the library's
+        card = catalog.QUERIES["trial_card"](spark, str(tmp_path / "tables"))
+        plan = card._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "hashpartitioning(nct_id" not in plan
+    made = registry(spark, str(tmp_path / "tables")).kept
+    assert {name for name, df in made.items() if "interventions" in name and df.inputFiles() == made["lines"].inputFiles()} == {"interventions", "arm_interventions"}
